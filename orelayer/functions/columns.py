@@ -31,6 +31,11 @@ UNTRACKED_COLUMNS = ["effective_time", "systime", "created_at"]
 UNTRACKED_SUFFIXES = ["_cache", "_hash", "_blob", "_temp"]
 
 
+# Totals over any number of rows: room for 26 digits before the point, so that the sum of a busy key of a
+# very large table does not overflow.
+TOTAL = "decimal(28,2)"
+
+
 def clock(value: datetime | date | str | None = None) -> Column:
     """A zone-less timestamp: the given one, or the moment the query starts."""
     if value is None:

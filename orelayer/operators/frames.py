@@ -7,9 +7,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
-from orelayer.functions.columns import clock
+from orelayer.functions.columns import TOTAL, clock
 from orelayer.functions.skew import latest_per_key
 
 # ---------------------------------------------------------------- filters
@@ -51,7 +51,7 @@ def changed(columns: Sequence[str], old: str, new: str) -> Column:
 # ---------------------------------------------------------------- aggregates
 
 
-def sum_by(df: DataFrame, key: str, amount: str | Column, into: str, type_: str = "decimal(12,2)") -> DataFrame:
+def sum_by(df: DataFrame, key: str, amount: str | Column, into: str, type_: str = TOTAL) -> DataFrame:
     """One total per key, so that a join with the result adds no rows."""
     return df.groupBy(key).agg(F.sum(amount).cast(type_).alias(into))
 
@@ -63,9 +63,13 @@ def mean_by(df: DataFrame, key: str, value: str, into: str, decimals: int = 6) -
 
 
 def sums_by(df: DataFrame, key: str) -> DataFrame:
-    """The sum of every numeric column per key, under the columns' own names."""
-    numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name != key]
-    return df.groupBy(key).agg(*[F.sum(c).alias(c) for c in numeric])
+    """The sum of every numeric column per key, under the columns' own names.
+
+    Whole numbers are summed as decimals, which have room for the sum of any number of rows.
+    """
+    numeric = [f for f in df.schema if isinstance(f.dataType, NumericType) and f.name != key]
+    wide = [F.col(f.name).cast("decimal(20,0)") if isinstance(f.dataType, IntegralType) else F.col(f.name) for f in numeric]
+    return df.groupBy(key).agg(*[F.sum(c).alias(f.name) for c, f in zip(wide, numeric)])
 
 
 def top_by(df: DataFrame, measure: str, tie_break: str, k: int) -> DataFrame:

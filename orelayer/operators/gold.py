@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orelayer.functions.columns import clock, is_weekend, stable_uuid
+from orelayer.functions.columns import TOTAL, clock, is_weekend, stable_uuid
 from orelayer.operators.silver import Clock, null
 
 # The first month of each season's quarter, as calendar months.
@@ -38,7 +38,7 @@ def dim_film(film: DataFrame, language: DataFrame) -> DataFrame:
         F.lit(0).alias("special_features_count"),
         F.lit(0).alias("total_inventory_copies"),
         F.coalesce("sl_rental_count", F.lit(0)).alias("total_rentals"),
-        F.coalesce("sl_total_revenue", F.lit(0).cast("decimal(12,2)")).alias("total_revenue"),
+        F.coalesce("sl_total_revenue", F.lit(0).cast(TOTAL)).alias("total_revenue"),
         F.col("sl_avg_rental_duration").alias("avg_rental_duration"),
         null("double").alias("rental_frequency"),
         null("string").alias("length_category"),
@@ -125,10 +125,10 @@ def dim_staff(
             for c in ("address_line1", "address_line2", "district", "city", "postal_code", "phone", "country")
         ],
         F.coalesce("last_update", clock(now)).alias("last_update"),
-        metric("total_rentals_processed", "int", F.lit(0)),
-        metric("total_payments_processed", "int", F.lit(0)),
-        metric("total_payment_amount", "decimal(12,2)", F.lit(0)),
-        metric("avg_payment_amount", "decimal(6,2)", F.lit(None)),
+        metric("total_rentals_processed", "bigint", F.lit(0)),
+        metric("total_payments_processed", "bigint", F.lit(0)),
+        metric("total_payment_amount", TOTAL, F.lit(0)),
+        metric("avg_payment_amount", "decimal(12,2)", F.lit(None)),
         *[
             null("double").alias(c)
             for c in ("avg_rentals_per_day", "avg_payments_per_day", "customer_satisfaction_score")
@@ -268,7 +268,7 @@ def fact_rental(
         F.col("rental_duration").alias("rental_duration_planned"),
         "rental_rate",
         "replacement_cost",
-        F.coalesce("revenue_amount", "rental_rate").cast("decimal(12,2)").alias("revenue_amount"),
+        F.coalesce("revenue_amount", "rental_rate").cast(TOTAL).alias("revenue_amount"),
         is_weekend(started).alias("is_weekend_rental"),
         F.lit(False).alias("is_holiday_rental"),
         F.hour(started).alias("rental_hour"),
@@ -302,7 +302,7 @@ def revenue_by_film(film: DataFrame, inventory: DataFrame, rental: DataFrame, pa
     per_copy = rental.join(paid, "rental_id").groupBy("inventory_id").agg(F.sum("_paid").alias("_paid"))
     per_film = inventory.join(per_copy, "inventory_id").groupBy("film_id").agg(F.sum("_paid").alias("_paid"))
     return film.join(per_film, "film_id").select(
-        "film_id", "title", F.col("_paid").cast("decimal(18,2)").alias("total_revenue")
+        "film_id", "title", F.col("_paid").cast(TOTAL).alias("total_revenue")
     )
 
 
@@ -318,7 +318,7 @@ def customer_value(customer: DataFrame, rental: DataFrame, payment: DataFrame) -
         "customer_id",
         F.concat("first_name", F.lit(" "), "last_name").alias("customer_name"),
         F.coalesce("_rentals", F.lit(0)).alias("rental_count"),
-        F.col("_paid").cast("decimal(18,2)").alias("lifetime_value"),
+        F.col("_paid").cast(TOTAL).alias("lifetime_value"),
     )
 
 
@@ -327,7 +327,7 @@ def rental_rollup(facts: DataFrame) -> DataFrame:
     levels = ["rental_year", "rental_quarter", "rental_month"]
     return facts.rollup(*levels).agg(
         F.grouping_id(*levels).cast("int").alias("level"),
-        F.sum("revenue_amount").cast("decimal(18,2)").alias("revenue"),
+        F.sum("revenue_amount").cast(TOTAL).alias("revenue"),
         F.count(F.lit(1)).alias("rentals"),
         F.count_if("is_weekend_rental").alias("weekend_rentals"),
     )
@@ -335,5 +335,5 @@ def rental_rollup(facts: DataFrame) -> DataFrame:
 
 def rentals_by_hour(facts: DataFrame) -> DataFrame:
     return facts.groupBy("is_weekend_rental", "rental_hour").agg(
-        F.sum("revenue_amount").cast("decimal(18,2)").alias("revenue"), F.count(F.lit(1)).alias("rentals")
+        F.sum("revenue_amount").cast(TOTAL).alias("revenue"), F.count(F.lit(1)).alias("rentals")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelayer.functions.columns import (
+    TOTAL,
     Field,
     clock,
     conform,
@@ -22,8 +23,8 @@ from orelayer.operators.frames import sum_by
 
 Clock = datetime | str | None
 
-# Declared source columns. Identifiers are bigint, so that keys of very large tables survive the cast;
-# every other type and length is that of the source models.
+# Declared source columns. Identifiers and counters are bigint and totals have 26 digits before the point,
+# so that very large tables fit; every other type and length is that of the source models.
 LANGUAGE = [Field("language_id", "bigint"), Field("name", length=20, pad=True)]
 ADDRESS = [
     Field("address_id", "bigint"),
@@ -92,6 +93,10 @@ def null(type_: str) -> Column:
     return F.lit(None).cast(type_)
 
 
+def nothing() -> Column:
+    return F.lit(0).cast("bigint")
+
+
 def _audited(
     bronze: DataFrame,
     fields: Sequence[Field],
@@ -144,7 +149,7 @@ def sl_language(bronze: DataFrame, now: Clock = None, **options) -> DataFrame:
 
 
 def sl_address(bronze: DataFrame, now: Clock = None, counters: DataFrame | None = None, **options) -> DataFrame:
-    empty = {"sl_customer_count": F.lit(0), "sl_store_count": F.lit(0)}
+    empty = {"sl_customer_count": nothing(), "sl_store_count": nothing()}
     silver = _audited(bronze, ADDRESS, "address", now, touched=True, linked=True, metrics=empty, **options)
     return _measured(silver, counters, "address_id")
 
@@ -152,8 +157,8 @@ def sl_address(bronze: DataFrame, now: Clock = None, counters: DataFrame | None
 def sl_store(bronze: DataFrame, now: Clock = None, metrics: DataFrame | None = None, **options) -> DataFrame:
     empty = {
         "sl_total_revenue": F.lit(0.0),
-        "sl_total_customers": F.lit(0),
-        "sl_total_rentals": F.lit(0),
+        "sl_total_customers": nothing(),
+        "sl_total_rentals": nothing(),
         "sl_avg_rental_rate": null("double"),
     }
     silver = _audited(bronze, STORE, "store", now, touched=True, linked=True, metrics=empty, **options)
@@ -162,8 +167,8 @@ def sl_store(bronze: DataFrame, now: Clock = None, metrics: DataFrame | None = N
 
 def sl_film(bronze: DataFrame, now: Clock = None, metrics: DataFrame | None = None, **options) -> DataFrame:
     empty = {
-        "sl_rental_count": F.lit(0),
-        "sl_total_revenue": F.lit(0).cast("decimal(12,2)"),
+        "sl_rental_count": nothing(),
+        "sl_total_revenue": F.lit(0).cast(TOTAL),
         "sl_avg_rental_duration": null("double"),
     }
     silver = _audited(bronze, FILM, "film", now, touched=True, linked=True, metrics=empty, **options)
@@ -231,10 +236,10 @@ def sl_rental_enriched(
 def film_metrics(rentals: DataFrame) -> DataFrame:
     """Per film: rentals, sum paid, mean hours out of the rentals that came back."""
     micros = F.timestamp_diff("MICROSECOND", F.col("rental_date"), F.col("return_date"))
-    hours = F.sum(micros).cast("double") / F.count(micros) / F.lit(3.6e9)
+    hours = F.sum(micros.cast("decimal(20,0)")).cast("double") / F.count(micros) / F.lit(3.6e9)
     return rentals.where(F.col("film_id").isNotNull()).groupBy("film_id").agg(
-        F.count(F.lit(1)).cast("int").alias("sl_rental_count"),
-        F.coalesce(F.sum("revenue_amount"), F.lit(0)).cast("decimal(12,2)").alias("sl_total_revenue"),
+        F.count(F.lit(1)).alias("sl_rental_count"),
+        F.coalesce(F.sum("revenue_amount"), F.lit(0)).cast(TOTAL).alias("sl_total_revenue"),
         hours.alias("sl_avg_rental_duration"),
     )
 
@@ -252,13 +257,13 @@ def store_metrics(rentals: DataFrame, films: DataFrame) -> DataFrame:
     rated = F.sum(F.when(F.col("_rate").isNotNull(), F.col("_rentals")))
     totals = per_film.groupBy("store_id").agg(
         F.coalesce(F.sum("_paid"), F.lit(0)).cast("double").alias("sl_total_revenue"),
-        F.sum("_rentals").cast("int").alias("sl_total_rentals"),
+        F.sum("_rentals").alias("sl_total_rentals"),
         (F.sum(F.col("_rate") * F.col("_rentals")).cast("double") / rated).alias("sl_avg_rental_rate"),
     )
     customers = (
         rentals.where(F.col("store_id").isNotNull())
         .groupBy("store_id")
-        .agg(F.count_distinct("customer_id").cast("int").alias("sl_total_customers"))
+        .agg(F.count_distinct("customer_id").alias("sl_total_customers"))
     )
     return totals.join(customers, "store_id").select(
         "store_id", "sl_total_revenue", "sl_total_customers", "sl_total_rentals", "sl_avg_rental_rate"
@@ -273,7 +278,7 @@ def address_counters(customers: DataFrame, stores: DataFrame) -> DataFrame:
     return (
         tagged.where(F.col("address_id").isNotNull())
         .groupBy("address_id")
-        .agg(F.sum("_c").cast("int").alias("sl_customer_count"), F.sum("_s").cast("int").alias("sl_store_count"))
+        .agg(F.sum("_c").alias("sl_customer_count"), F.sum("_s").alias("sl_store_count"))
     )
 
 
@@ -287,9 +292,9 @@ def staff_metrics(rentals: DataFrame, payment: DataFrame) -> DataFrame:
     joined = rentals.where(F.col("staff_id").isNotNull()).select("rental_id", "staff_id").join(paid, "rental_id", "left")
     payments = F.coalesce(F.sum("_payments"), F.lit(0))
     return joined.groupBy("staff_id").agg(
-        F.count(F.lit(1)).cast("int").alias("total_rentals_processed"),
-        payments.cast("int").alias("total_payments_processed"),
-        F.coalesce(F.sum("_paid"), F.lit(0)).cast("decimal(12,2)").alias("total_payment_amount"),
+        F.count(F.lit(1)).alias("total_rentals_processed"),
+        payments.alias("total_payments_processed"),
+        F.coalesce(F.sum("_paid"), F.lit(0)).cast(TOTAL).alias("total_payment_amount"),
         F.when(payments > 0, F.sum("_paid").cast("double") / payments)
-        .cast("decimal(18,6)").cast("decimal(6,2)").alias("avg_payment_amount"),
+        .cast("decimal(18,6)").cast("decimal(12,2)").alias("avg_payment_amount"),
     )

@@ -73,7 +73,7 @@ payment AS (
   SELECT l_orderkey AS rental_id,
          CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(12,2)) AS amount
   FROM lineitem),
-paid AS (SELECT rental_id, CAST(sum(amount) AS DECIMAL(12,2)) AS revenue_amount FROM payment GROUP BY 1),
+paid AS (SELECT rental_id, CAST(sum(amount) AS DECIMAL(28,2)) AS revenue_amount FROM payment GROUP BY 1),
 enriched AS (
   SELECT r.rental_id, rental_date, return_date, customer_id, staff_id, film_id, store_id,
          CAST(date_diff('microsecond', rental_date, return_date) AS DOUBLE) / CAST(3600000000 AS DOUBLE)
@@ -81,25 +81,25 @@ enriched AS (
          revenue_amount, last_update
   FROM rental r LEFT JOIN inventory USING (inventory_id) LEFT JOIN paid USING (rental_id)),
 film_m AS (
-  SELECT film_id, CAST(count(*) AS INTEGER) AS sl_rental_count,
-         CAST(coalesce(sum(revenue_amount), 0) AS DECIMAL(12,2)) AS sl_total_revenue,
+  SELECT film_id, count(*) AS sl_rental_count,
+         CAST(coalesce(sum(revenue_amount), 0) AS DECIMAL(28,2)) AS sl_total_revenue,
          CAST(sum(date_diff('microsecond', rental_date, return_date)) AS DOUBLE) / count(return_date)
            / CAST(3600000000 AS DOUBLE) AS sl_avg_rental_duration
   FROM enriched WHERE film_id IS NOT NULL GROUP BY 1),
 store_m AS (
   SELECT e.store_id, CAST(coalesce(sum(revenue_amount), 0) AS DOUBLE) AS sl_total_revenue,
-         CAST(count(DISTINCT customer_id) AS INTEGER) AS sl_total_customers,
-         CAST(count(*) AS INTEGER) AS sl_total_rentals,
+         count(DISTINCT customer_id) AS sl_total_customers,
+         count(*) AS sl_total_rentals,
          CAST(sum(rental_rate) AS DOUBLE) / count(rental_rate) AS sl_avg_rental_rate
   FROM enriched e LEFT JOIN film USING (film_id) WHERE e.store_id IS NOT NULL GROUP BY 1),
 address_c AS (
-  SELECT address_id, CAST(sum(c) AS INTEGER) AS sl_customer_count, CAST(sum(s) AS INTEGER) AS sl_store_count
+  SELECT address_id, CAST(sum(c) AS BIGINT) AS sl_customer_count, CAST(sum(s) AS BIGINT) AS sl_store_count
   FROM (SELECT address_id, 1 AS c, 0 AS s FROM client UNION ALL SELECT address_id, 0, 1 FROM store) GROUP BY 1),
 staff_m AS (
-  SELECT staff_id, CAST(count(DISTINCT r.rental_id) AS INTEGER) AS total_rentals_processed,
-         CAST(count(amount) AS INTEGER) AS total_payments_processed,
-         CAST(coalesce(sum(amount), 0) AS DECIMAL(12,2)) AS total_payment_amount,
-         CAST(CAST(CAST(sum(amount) AS DOUBLE) / count(amount) AS DECIMAL(18,6)) AS DECIMAL(6,2)) AS avg_payment_amount
+  SELECT staff_id, count(DISTINCT r.rental_id) AS total_rentals_processed,
+         count(amount) AS total_payments_processed,
+         CAST(coalesce(sum(amount), 0) AS DECIMAL(28,2)) AS total_payment_amount,
+         CAST(CAST(CAST(sum(amount) AS DOUBLE) / count(amount) AS DECIMAL(18,6)) AS DECIMAL(12,2)) AS avg_payment_amount
   FROM rental r LEFT JOIN payment p ON p.rental_id = r.rental_id WHERE staff_id IS NOT NULL GROUP BY 1),
 days AS (
   SELECT CAST(d AS DATE) AS full_date FROM (
@@ -121,7 +121,7 @@ fact_rental AS (
          CAST(rental_date AS DATE) AS rental_date, rental_date AS rental_datetime,
          CAST(return_date AS DATE) AS return_date, return_date AS return_datetime, rental_duration_actual,
          CAST(rental_duration AS SMALLINT) AS rental_duration_planned, rental_rate, replacement_cost,
-         CAST(coalesce(revenue_amount, rental_rate) AS DECIMAL(12,2)) AS revenue_amount,
+         CAST(coalesce(revenue_amount, rental_rate) AS DECIMAL(28,2)) AS revenue_amount,
          extract(dow FROM rental_date) IN (0, 6) AS is_weekend_rental, false AS is_holiday_rental,
          CAST(extract(hour FROM rental_date) AS INTEGER) AS rental_hour,
          CAST(extract(quarter FROM rental_date) AS INTEGER) AS rental_quarter,
@@ -175,7 +175,7 @@ ORACLE["sl_film"] = audited(
     "film LEFT JOIN film_m USING (film_id)",
     True,
     """, coalesce(sl_rental_count, 0) AS sl_rental_count,
-    coalesce(sl_total_revenue, CAST(0 AS DECIMAL(12,2))) AS sl_total_revenue, sl_avg_rental_duration""",
+    coalesce(sl_total_revenue, CAST(0 AS DECIMAL(28,2))) AS sl_total_revenue, sl_avg_rental_duration""",
 )
 PERSON = """left(first_name, 45) AS first_name, left(last_name, 45) AS last_name,
   first_name || ' ' || last_name AS full_name, left(email, 50) AS email, CAST(store_id AS BIGINT) AS store_id,
@@ -214,7 +214,7 @@ ORACLE["dim_film"] = rental(
     rental_rate, replacement_cost, false AS has_trailers, false AS has_commentaries, false AS has_deleted_scenes,
     false AS has_behind_scenes, 0 AS special_features_count, 0 AS total_inventory_copies,
     coalesce(sl_rental_count, 0) AS total_rentals,
-    coalesce(sl_total_revenue, CAST(0 AS DECIMAL(12,2))) AS total_revenue,
+    coalesce(sl_total_revenue, CAST(0 AS DECIMAL(28,2))) AS total_revenue,
     sl_avg_rental_duration AS avg_rental_duration, {empty('rental_frequency popularity_score', 'DOUBLE')},
     {empty('length_category price_tier')}, false AS is_classic, true AS is_currently_available,
     {empty('last_rental_date', 'TIMESTAMP')}, {empty('days_since_last_rental', 'INTEGER')}
@@ -240,7 +240,7 @@ ORACLE["dim_staff"] = rental(
     {empty('store_city address_line1 address_line2 district city postal_code phone country')},
     {EPOCH} AS last_update, coalesce(total_rentals_processed, 0) AS total_rentals_processed,
     coalesce(total_payments_processed, 0) AS total_payments_processed,
-    coalesce(total_payment_amount, CAST(0 AS DECIMAL(12,2))) AS total_payment_amount, avg_payment_amount,
+    coalesce(total_payment_amount, CAST(0 AS DECIMAL(28,2))) AS total_payment_amount, avg_payment_amount,
     {empty('avg_rentals_per_day avg_payments_per_day customer_satisfaction_score team_performance_score', 'DOUBLE')},
     {empty('performance_tier specialization')}, false AS is_top_performer, {empty('managed_staff_count', 'INTEGER')},
     {empty('store_revenue_under_management', 'DECIMAL(12,2)')}
@@ -273,12 +273,12 @@ ORACLE["fact_rental"] = rental("SELECT * FROM fact_rental")
 ORACLE["fact_rollup"] = rental(
     """SELECT rental_year, rental_quarter, rental_month,
     CAST(grouping(rental_year, rental_quarter, rental_month) AS INTEGER) AS level,
-    CAST(sum(revenue_amount) AS DECIMAL(18,2)) AS revenue, count(*) AS rentals,
+    CAST(sum(revenue_amount) AS DECIMAL(28,2)) AS revenue, count(*) AS rentals,
     count(*) FILTER (is_weekend_rental) AS weekend_rentals
     FROM fact_rental GROUP BY ROLLUP (rental_year, rental_quarter, rental_month)"""
 )
 ORACLE["rentals_by_hour"] = rental(
-    """SELECT is_weekend_rental, rental_hour, CAST(sum(revenue_amount) AS DECIMAL(18,2)) AS revenue, count(*) AS rentals
+    """SELECT is_weekend_rental, rental_hour, CAST(sum(revenue_amount) AS DECIMAL(28,2)) AS revenue, count(*) AS rentals
     FROM fact_rental GROUP BY 1, 2"""
 )
 ORACLE["overdue_returns"] = rental(
@@ -286,14 +286,14 @@ ORACLE["overdue_returns"] = rental(
     WHERE return_date < DATE '2000-01-01' AND return_date IS NOT NULL"""
 )
 ORACLE["top_films_by_revenue"] = rental(
-    """SELECT f.film_id, f.title, CAST(sum(p.amount) AS DECIMAL(18,2)) AS total_revenue
+    """SELECT f.film_id, f.title, CAST(sum(p.amount) AS DECIMAL(28,2)) AS total_revenue
     FROM film f JOIN inventory i ON f.film_id = i.film_id JOIN rental r ON i.inventory_id = r.inventory_id
     JOIN payment p ON r.rental_id = p.rental_id GROUP BY f.film_id, f.title
     ORDER BY total_revenue DESC, f.film_id LIMIT 10"""
 )
 ORACLE["customer_value"] = rental(
     """SELECT c.customer_id, c.first_name || ' ' || c.last_name AS customer_name,
-    count(DISTINCT r.rental_id) AS rental_count, CAST(sum(p.amount) AS DECIMAL(18,2)) AS lifetime_value
+    count(DISTINCT r.rental_id) AS rental_count, CAST(sum(p.amount) AS DECIMAL(28,2)) AS lifetime_value
     FROM client c LEFT JOIN rental r ON c.customer_id = r.customer_id LEFT JOIN payment p ON r.rental_id = p.rental_id
     GROUP BY c.customer_id, c.first_name, c.last_name ORDER BY lifetime_value DESC NULLS LAST, c.customer_id"""
 )

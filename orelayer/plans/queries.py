@@ -236,7 +236,7 @@ def sums_by_category(source):
         F.col("l_linenumber"),
     )
     sums = frames.sums_by(lines, "l_returnflag")
-    return sums.select("l_returnflag", *[F.col(c).cast("decimal(28,2)").alias(c) for c in sums.columns[1:]])
+    return sums.select("l_returnflag", *[F.col(c).cast(C.TOTAL).alias(c) for c in sums.columns[1:]])
 
 
 @query

@@ -35,12 +35,12 @@ class ChangeFilter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         known = self.last.get() if self.last.exists() else None
-        before = batch["_hash"].shift()
+        before = batch["state_hash"].shift()
         if known is not None:
             before.iloc[0] = known[0]
         batch["operation_type"] = before.isna().map({True: "INSERT", False: "UPDATE"})
-        self.last.update((batch["_hash"].iloc[-1],))
-        yield batch[batch["_hash"] != before]
+        self.last.update((batch["state_hash"].iloc[-1],))
+        yield batch[batch["state_hash"] != before]
 
     def close(self) -> None:
         pass
@@ -53,13 +53,14 @@ def history_stream(
 
     Within a micro-batch the rows of a key are applied in ``order``; across micro-batches in order of
     arrival. The rows of one key in one micro-batch meet in one task, so bound the micro-batch at the
-    source. Hashes and history columns are computed by Spark; tracked values cross Python as text.
+    source. Hashes and history columns are computed by Spark; tracked values cross Python as text. (Names
+    with a leading underscore do not survive the trip into a stateful processor.)
     """
     rows = changes.select(
         *keys,
         *order,
-        *[F.col(c).cast("string").alias(f"_text_{c}") for c in tracked],
-        record_hash(tracked).alias("_hash"),
+        *[F.col(c).cast("string").alias(f"text_{c}") for c in tracked],
+        record_hash(tracked).alias("state_hash"),
     )
     out = StructType(list(rows.schema.fields) + [StructField("operation_type", StringType())])
     kept = rows.groupBy(*keys).transformWithStateInPandas(
@@ -68,7 +69,7 @@ def history_stream(
     types = {c: changes.schema[c].dataType for c in tracked}
     return kept.select(
         *keys,
-        *[F.col(f"_text_{c}").cast(types[c]).alias(c) for c in tracked],
+        *[F.col(f"text_{c}").cast(types[c]).alias(c) for c in tracked],
         stable_uuid(*keys, order[-1], "operation_type").alias("history_id"),
         F.col(order[0]).alias("effective_time"),
         clock(systime).alias("systime"),
