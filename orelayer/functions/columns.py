@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 # Column sets and names that stored tables share.
 BRONZE_FILE_COLUMNS = [
@@ -31,6 +32,8 @@ UNTRACKED_COLUMNS = ["effective_time", "systime", "created_at"]
 UNTRACKED_SUFFIXES = ["_cache", "_hash", "_blob", "_temp"]
 
 
+UUID_PARTS = "^(.{8})(.{4})(.{4})(.{4})(.{12})$"
+UUID_LAYOUT = "$1-$2-$3-$4-$5"
 # Totals over any number of rows: room for 26 digits before the point, so that the sum of a busy key of a
 # very large table does not overflow.
 TOTAL = "decimal(28,2)"
@@ -90,7 +93,7 @@ def stamp_batch(
             "br_source_table": F.lit(f"{schema}.{table}" if schema else table),
             "br_batch_id": F.lit(batch_id),
             "br_is_current": F.lit(True),
-            "br_record_hash": record_hash(business),
+            "br_record_hash": record_hash(business, plain_columns(df)),
         }
     )
     if random_key:
@@ -102,6 +105,12 @@ def business_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith(("br_", "bronze_"))]
 
 
+def plain_columns(df: DataFrame) -> list[str]:
+    """Columns whose text cannot hold a bar or a backslash."""
+    plain = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
+    return [f.name for f in df.schema if isinstance(f.dataType, plain)]
+
+
 def as_text(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     chosen = set(business_columns(df) if columns is None else columns)
     return df.select([F.col(c).cast("string").alias(c) if c in chosen else F.col(c) for c in df.columns])
@@ -110,15 +119,20 @@ def as_text(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
 # ---------------------------------------------------------------- hashes and keys
 
 
-def record_hash(columns: Sequence[Column | str]) -> Column:
+def record_hash(columns: Sequence[Column | str], plain: Iterable[str] = ()) -> Column:
     r"""md5 over the columns, in the order given, joined by ``|``.
 
     A null is written ``\N`` and a backslash or bar inside a value is escaped, so rows that differ only in
     where a null or a bar stands never share a hash. Rows without any of these hash as the plain joined text.
+    ``plain`` names columns whose text holds neither, such as numbers and times: they skip the escaping.
     """
+    unescaped = set(plain)
     parts = []
     for column in columns:
         text = _col(column).cast("string")
+        if isinstance(column, str) and column in unescaped:
+            parts.append(F.coalesce(text, F.lit("\\N")))
+            continue
         escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
         parts.append(F.coalesce(escaped, F.lit("\\N")))
     return F.md5(F.concat_ws("|", *parts))
@@ -132,7 +146,12 @@ def random_uuid() -> Column:
 def stable_uuid(*columns: Column | str) -> Column:
     """The md5 of the natural key laid out as a uuid: the same key on every run and every executor."""
     digest = F.md5(_col(columns[0]).cast("string")) if len(columns) == 1 else record_hash(columns)
-    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.regexp_replace(digest, UUID_PARTS, UUID_LAYOUT)
+
+
+def stable_uuid_sql(column: str) -> str:
+    """:func:`stable_uuid` of one column as SQL text."""
+    return f"regexp_replace(md5(CAST({column} AS STRING)), '{UUID_PARTS}', '{UUID_LAYOUT}')"
 
 
 # ---------------------------------------------------------------- casts

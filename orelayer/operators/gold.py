@@ -4,88 +4,83 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelayer.functions.columns import TOTAL, clock, is_weekend, stable_uuid
+from orelayer.functions.columns import TOTAL, clock, stable_uuid_sql
 from orelayer.operators.silver import Clock, null
 
-# The first month of each season's quarter, as calendar months.
+# Extras a film may have, and the months of each season.
+EXTRAS = ["trailers", "commentaries", "deleted_scenes", "behind_scenes"]
 SEASONS = {"Winter": [12, 1, 2], "Spring": [3, 4, 5], "Summer": [6, 7, 8], "Autumn": [9, 10, 11]}
 
 
+def _empty(type_: str, *names: str) -> list[str]:
+    """Columns of the model that no source fills."""
+    return [f"CAST(NULL AS {type_}) AS {name}" for name in names]
+
+
+def _fixed(value: str, *names: str) -> list[str]:
+    return [f"{value} AS {name}" for name in names]
+
+
 def dim_film(film: DataFrame, language: DataFrame) -> DataFrame:
     """Films with their language, ``Unknown`` where there is none. Columns without a source stay empty."""
-    spoken = language.select("language_id", F.col("name").alias("_language"))
-    return film.join(spoken, "language_id", "left").select(
-        stable_uuid("film_id").alias("gl_dim_film_key"),
+    spoken = language.selectExpr("language_id", "name AS _language")
+    return film.join(spoken, "language_id", "left").selectExpr(
+        f"{stable_uuid_sql('film_id')} AS gl_dim_film_key",
         "film_id",
         "title",
         "description",
         "release_year",
         "rating",
-        F.coalesce("_language", F.lit("Unknown")).alias("language_name"),
-        *[null("string").alias(c) for c in ("original_language_name", "category_names", "primary_category")],
-        *[null("string").alias(c) for c in ("actor_names", "lead_actor")],
-        F.col("length").alias("length_minutes"),
-        F.col("rental_duration").alias("rental_duration_days"),
+        "coalesce(_language, 'Unknown') AS language_name",
+        *_empty("string", "original_language_name", "category_names", "primary_category", "actor_names", "lead_actor"),
+        "length AS length_minutes",
+        "rental_duration AS rental_duration_days",
         "rental_rate",
         "replacement_cost",
-        *[
-            F.lit(False).alias(f"has_{c}")
-            for c in ("trailers", "commentaries", "deleted_scenes", "behind_scenes")
-        ],
-        F.lit(0).alias("special_features_count"),
-        F.lit(0).alias("total_inventory_copies"),
-        F.coalesce("sl_rental_count", F.lit(0)).alias("total_rentals"),
-        F.coalesce("sl_total_revenue", F.lit(0).cast(TOTAL)).alias("total_revenue"),
-        F.col("sl_avg_rental_duration").alias("avg_rental_duration"),
-        null("double").alias("rental_frequency"),
-        null("string").alias("length_category"),
-        null("string").alias("price_tier"),
-        null("double").alias("popularity_score"),
-        F.lit(False).alias("is_classic"),
-        F.lit(True).alias("is_currently_available"),
-        null("timestamp_ntz").alias("last_rental_date"),
-        null("int").alias("days_since_last_rental"),
+        *_fixed("false", *[f"has_{extra}" for extra in EXTRAS]),
+        *_fixed("0", "special_features_count", "total_inventory_copies"),
+        "coalesce(sl_rental_count, 0) AS total_rentals",
+        f"coalesce(sl_total_revenue, CAST(0 AS {TOTAL})) AS total_revenue",
+        "sl_avg_rental_duration AS avg_rental_duration",
+        *_empty("double", "rental_frequency"),
+        *_empty("string", "length_category", "price_tier"),
+        *_empty("double", "popularity_score"),
+        *_fixed("false", "is_classic"),
+        *_fixed("true", "is_currently_available"),
+        *_empty("timestamp_ntz", "last_rental_date"),
+        *_empty("int", "days_since_last_rental"),
     )
 
 
 def dim_store(store: DataFrame, address: DataFrame) -> DataFrame:
     """Stores with their address and metrics."""
-    blank = F.lit("")
-    place = address.select(
-        "address_id", F.col("address").alias("address_line1"), F.col("address2").alias("address_line2"),
-        "district", "postal_code", "phone",
+    place = address.selectExpr(
+        "address_id", "address AS address_line1", "address2 AS address_line2", "district", "postal_code", "phone"
     )
-    return store.join(place, "address_id", "left").select(
-        stable_uuid("store_id").alias("gl_dim_store_key"),
+    return store.join(place, "address_id", "left").selectExpr(
+        f"{stable_uuid_sql('store_id')} AS gl_dim_store_key",
         "store_id",
         "manager_staff_id",
-        *[blank.alias(f"manager_{c}") for c in ("first_name", "last_name", "full_name")],
-        null("string").alias("manager_email"),
+        *_fixed("''", *[f"manager_{part}" for part in ("first_name", "last_name", "full_name")]),
+        *_empty("string", "manager_email"),
         "address_line1",
         "address_line2",
         "district",
-        blank.alias("city"),
+        *_fixed("''", "city"),
         "postal_code",
         "phone",
-        blank.alias("country"),
+        *_fixed("''", "country"),
         "last_update",
-        F.col("sl_total_customers").alias("total_customers"),
-        F.col("sl_total_rentals").alias("total_rentals"),
-        F.col("sl_total_revenue").alias("total_revenue"),
-        F.col("sl_avg_rental_rate").alias("avg_rental_rate"),
-        F.lit(0).alias("total_inventory_items"),
-        F.lit(0).alias("active_customers"),
-        null("decimal(8,2)").alias("revenue_per_customer"),
-        *[
-            null("double").alias(c)
-            for c in ("inventory_turnover_rate", "customer_retention_rate", "avg_rentals_per_day")
-        ],
-        null("string").alias("store_tier"),
-        F.lit(False).alias("is_flagship_store"),
-        null("string").alias("primary_customer_segment"),
+        *[f"sl_{m} AS {m}" for m in ("total_customers", "total_rentals", "total_revenue", "avg_rental_rate")],
+        *_fixed("0", "total_inventory_items", "active_customers"),
+        *_empty("decimal(8,2)", "revenue_per_customer"),
+        *_empty("double", "inventory_turnover_rate", "customer_retention_rate", "avg_rentals_per_day"),
+        *_empty("string", "store_tier"),
+        *_fixed("false", "is_flagship_store"),
+        *_empty("string", "primary_customer_segment"),
     )
 
 
@@ -93,20 +88,20 @@ def dim_staff(
     staff: DataFrame, store: DataFrame, address: DataFrame, now: Clock = None, metrics: DataFrame | None = None
 ) -> DataFrame:
     """Staff with the address of their store; ``is_store_manager`` is null where the store is missing."""
-    shops = store.select(F.col("store_id").alias("_store_id"), "manager_staff_id", F.col("address_id").alias("_at"))
-    places = address.select(F.col("address_id").alias("_address_id"), F.col("address").alias("store_address"))
+    shops = store.selectExpr("store_id AS _store_id", "manager_staff_id", "address_id AS _at")
+    places = address.selectExpr("address_id AS _address_id", "address AS store_address")
     joined = staff.join(shops, F.col("store_id") == F.col("_store_id"), "left").join(
         places, F.col("_at") == F.col("_address_id"), "left"
     )
     if metrics is not None:
         joined = joined.join(metrics, "staff_id", "left")
-    measured = metrics is not None
 
-    def metric(name: str, type_: str, default: Column) -> Column:
-        return (F.coalesce(F.col(name), default) if measured else default).cast(type_).alias(name)
+    def metric(name: str, type_: str, default: str) -> str:
+        value = default if metrics is None else f"coalesce({name}, {default})"
+        return f"CAST({value} AS {type_}) AS {name}"
 
-    return joined.select(
-        stable_uuid("staff_id").alias("gl_dim_staff_key"),
+    return joined.withColumn("_now", clock(now)).selectExpr(
+        f"{stable_uuid_sql('staff_id')} AS gl_dim_staff_key",
         "staff_id",
         "first_name",
         "last_name",
@@ -116,29 +111,21 @@ def dim_staff(
         "is_active",
         "store_id",
         "store_address",
-        null("string").alias("store_city"),
-        ((F.col("store_id") == F.col("_store_id")) & (F.col("staff_id") == F.col("manager_staff_id"))).alias(
-            "is_store_manager"
-        ),
-        *[
-            null("string").alias(c)
-            for c in ("address_line1", "address_line2", "district", "city", "postal_code", "phone", "country")
-        ],
-        F.coalesce("last_update", clock(now)).alias("last_update"),
-        metric("total_rentals_processed", "bigint", F.lit(0)),
-        metric("total_payments_processed", "bigint", F.lit(0)),
-        metric("total_payment_amount", TOTAL, F.lit(0)),
-        metric("avg_payment_amount", "decimal(12,2)", F.lit(None)),
-        *[
-            null("double").alias(c)
-            for c in ("avg_rentals_per_day", "avg_payments_per_day", "customer_satisfaction_score")
-        ],
-        null("string").alias("performance_tier"),
-        F.lit(False).alias("is_top_performer"),
-        null("string").alias("specialization"),
-        null("int").alias("managed_staff_count"),
-        null("decimal(12,2)").alias("store_revenue_under_management"),
-        null("double").alias("team_performance_score"),
+        *_empty("string", "store_city"),
+        "store_id = _store_id AND staff_id = manager_staff_id AS is_store_manager",
+        *_empty("string", "address_line1", "address_line2", "district", "city", "postal_code", "phone", "country"),
+        "coalesce(last_update, _now) AS last_update",
+        metric("total_rentals_processed", "bigint", "0"),
+        metric("total_payments_processed", "bigint", "0"),
+        metric("total_payment_amount", TOTAL, "0"),
+        metric("avg_payment_amount", "decimal(12,2)", "NULL"),
+        *_empty("double", "avg_rentals_per_day", "avg_payments_per_day", "customer_satisfaction_score"),
+        *_empty("string", "performance_tier"),
+        *_fixed("false", "is_top_performer"),
+        *_empty("string", "specialization"),
+        *_empty("int", "managed_staff_count"),
+        *_empty("decimal(12,2)", "store_revenue_under_management"),
+        *_empty("double", "team_performance_score"),
     )
 
 
@@ -154,62 +141,50 @@ def calendar(bounds: DataFrame, as_of: date | str, holidays: DataFrame | None =
         days = days.withColumns({"holiday_name": null("string"), "holiday_type": null("string")})
     else:
         days = days.join(holidays.select("full_date", "holiday_name", "holiday_type"), "full_date", "left")
-    d = F.col("full_date")
-    today = F.lit(as_of if isinstance(as_of, str) else as_of.isoformat()).cast("date")
-    weekend, holiday = is_weekend(d), F.col("holiday_name").isNotNull()
-    year, month, quarter = F.year(d), F.month(d), F.quarter(d)
-    quarter_name = F.concat(F.lit("Q"), quarter.cast("string"))
-    season = F.lit(None).cast("string")
-    for name, months in SEASONS.items():
-        season = F.when(month.isin(*months), name).otherwise(season)
-
-    def same(unit: str) -> Column:
-        return F.trunc(d, unit) == F.trunc(today, unit)
-
-    def last_of(unit: str) -> Column:
-        return F.trunc(d, unit) != F.trunc(F.date_add(d, 1), unit)
-
-    columns = {
-        "date_key": F.date_format(d, "yyyyMMdd").cast("int"),
-        "full_date": d,
-        "day_of_month": F.dayofmonth(d),
-        "day_of_year": F.dayofyear(d),
-        "day_of_week": F.dayofweek(d) - 1,
-        "day_name": F.date_format(d, "EEEE"),
-        "day_name_short": F.date_format(d, "E"),
-        "week_of_year": F.weekofyear(d),
-        "week_of_month": F.ceil(F.dayofmonth(d) / 7).cast("int"),
-        "weekday_indicator": F.when(weekend, "Weekend").otherwise("Weekday"),
-        "month_number": month,
-        "month_name": F.date_format(d, "MMMM"),
-        "month_name_short": F.date_format(d, "MMM"),
-        "month_year": F.date_format(d, "yyyy-MM"),
-        "quarter_number": quarter,
-        "quarter_name": quarter_name,
-        "quarter_year": F.concat(year.cast("string"), F.lit("-"), quarter_name),
-        "year_number": year,
-        "is_weekend": weekend,
-        "is_weekday": ~weekend,
-        "is_holiday": holiday,
-        "is_business_day": ~weekend & ~holiday,
-        "holiday_name": F.col("holiday_name"),
-        "holiday_type": F.col("holiday_type"),
-        "fiscal_year": year,
-        "fiscal_quarter": quarter,
-        "fiscal_month": month,
-        "is_current_day": d == today,
-        "is_current_week": same("week"),
-        "is_current_month": same("month"),
-        "is_current_quarter": same("quarter"),
-        "is_current_year": same("year"),
-        "days_from_today": F.date_diff(d, today),
-        "is_month_end": last_of("month"),
-        "is_quarter_end": last_of("quarter"),
-        "is_year_end": last_of("year"),
-        "is_leap_year": F.dayofyear(F.last_day(F.make_date(year, F.lit(12), F.lit(1)))) == 366,
-        "season": season,
-    }
-    return days.select([c.alias(name) for name, c in columns.items()])
+    day = as_of if isinstance(as_of, str) else as_of.isoformat()
+    marked = days.selectExpr(
+        "full_date AS d",
+        f"DATE'{day}' AS today",
+        "dayofweek(full_date) IN (1, 7) AS weekend",
+        "holiday_name IS NOT NULL AS holiday",
+        "concat('Q', quarter(full_date)) AS q",
+        "holiday_name",
+        "holiday_type",
+    )
+    season = " ".join(f"WHEN month(d) IN ({', '.join(map(str, months))}) THEN '{name}'" for name, months in SEASONS.items())
+    return marked.selectExpr(
+        "CAST(date_format(d, 'yyyyMMdd') AS int) AS date_key",
+        "d AS full_date",
+        "day(d) AS day_of_month",
+        "dayofyear(d) AS day_of_year",
+        "dayofweek(d) - 1 AS day_of_week",
+        "date_format(d, 'EEEE') AS day_name",
+        "date_format(d, 'E') AS day_name_short",
+        "weekofyear(d) AS week_of_year",
+        "CAST(ceil(day(d) / 7) AS int) AS week_of_month",
+        "if(weekend, 'Weekend', 'Weekday') AS weekday_indicator",
+        "month(d) AS month_number",
+        "date_format(d, 'MMMM') AS month_name",
+        "date_format(d, 'MMM') AS month_name_short",
+        "date_format(d, 'yyyy-MM') AS month_year",
+        "quarter(d) AS quarter_number",
+        "q AS quarter_name",
+        "concat(year(d), '-', q) AS quarter_year",
+        "year(d) AS year_number",
+        "weekend AS is_weekend",
+        "NOT weekend AS is_weekday",
+        "holiday AS is_holiday",
+        "NOT weekend AND NOT holiday AS is_business_day",
+        "holiday_name",
+        "holiday_type",
+        *[f"{part}(d) AS fiscal_{part}" for part in ("year", "quarter", "month")],
+        "d = today AS is_current_day",
+        *[f"trunc(d, '{unit}') = trunc(today, '{unit}') AS is_current_{unit}" for unit in ("week", "month", "quarter", "year")],
+        "datediff(d, today) AS days_from_today",
+        *[f"trunc(d, '{unit}') <> trunc(date_add(d, 1), '{unit}') AS is_{unit}_end" for unit in ("month", "quarter", "year")],
+        "dayofyear(make_date(year(d), 12, 31)) = 366 AS is_leap_year",
+        f"CASE {season} END AS season",
+    )
 
 
 def date_bounds(df: DataFrame, *moments: str) -> DataFrame:
@@ -236,47 +211,43 @@ def fact_rental(
     the sum paid, or the list rate where nothing was paid.
     """
     planned = film.select("film_id", "rental_duration", "rental_rate", "replacement_cost")
-    dates = d_date.select("date_key", "full_date")
-    rented = dates.select(F.col("date_key").alias("rental_date_key"), F.col("full_date").alias("_rented"))
-    returned = dates.select(F.col("date_key").alias("return_date_key"), F.col("full_date").alias("_returned"))
     facts = rentals.select(
         "rental_id", "rental_date", "return_date", "rental_duration_actual", "revenue_amount",
         "film_id", "store_id", "staff_id",
     )
     joined = (
         facts.join(planned, "film_id", "left")
-        .join(d_film.select("film_id", F.col("gl_dim_film_key").alias("film_key")), "film_id", "left")
-        .join(d_store.select("store_id", F.col("gl_dim_store_key").alias("store_key")), "store_id", "left")
-        .join(d_staff.select("staff_id", F.col("gl_dim_staff_key").alias("staff_key")), "staff_id", "left")
-        .join(rented, F.to_date("rental_date") == F.col("_rented"), "left")
-        .join(returned, F.to_date("return_date") == F.col("_returned"), "left")
+        .join(d_film.selectExpr("film_id", "gl_dim_film_key AS film_key"), "film_id", "left")
+        .join(d_store.selectExpr("store_id", "gl_dim_store_key AS store_key"), "store_id", "left")
+        .join(d_staff.selectExpr("staff_id", "gl_dim_staff_key AS staff_key"), "staff_id", "left")
+        .join(
+            d_date.selectExpr("date_key AS rental_date_key", "full_date AS _rented"),
+            F.to_date("rental_date") == F.col("_rented"),
+            "left",
+        )
+        .join(
+            d_date.selectExpr("date_key AS return_date_key", "full_date AS _returned"),
+            F.to_date("return_date") == F.col("_returned"),
+            "left",
+        )
     )
-    started = F.col("rental_date")
-    return joined.select(
-        stable_uuid("rental_id").alias("gl_fact_rental_key"),
+    return joined.withColumn("_now", clock(now)).selectExpr(
+        f"{stable_uuid_sql('rental_id')} AS gl_fact_rental_key",
         "rental_id",
-        "film_key",
-        "store_key",
-        "staff_key",
-        "rental_date_key",
-        "return_date_key",
-        F.to_date(started).alias("rental_date"),
-        started.alias("rental_datetime"),
-        F.to_date("return_date").alias("return_date"),
-        F.col("return_date").alias("return_datetime"),
+        *[f"{role}_key" for role in ("film", "store", "staff", "rental_date", "return_date")],
+        "to_date(rental_date) AS rental_date",
+        "rental_date AS rental_datetime",
+        "to_date(return_date) AS return_date",
+        "return_date AS return_datetime",
         "rental_duration_actual",
-        F.col("rental_duration").alias("rental_duration_planned"),
+        "rental_duration AS rental_duration_planned",
         "rental_rate",
         "replacement_cost",
-        F.coalesce("revenue_amount", "rental_rate").cast(TOTAL).alias("revenue_amount"),
-        is_weekend(started).alias("is_weekend_rental"),
-        F.lit(False).alias("is_holiday_rental"),
-        F.hour(started).alias("rental_hour"),
-        F.quarter(started).alias("rental_quarter"),
-        F.month(started).alias("rental_month"),
-        F.year(started).alias("rental_year"),
-        clock(now).alias("gl_created_time"),
-        clock(now).alias("gl_updated_time"),
+        f"CAST(coalesce(revenue_amount, rental_rate) AS {TOTAL}) AS revenue_amount",
+        "dayofweek(rental_date) IN (1, 7) AS is_weekend_rental",
+        *_fixed("false", "is_holiday_rental"),
+        *[f"{part}(rental_date) AS rental_{part}" for part in ("hour", "quarter", "month", "year")],
+        *_fixed("_now", "gl_created_time", "gl_updated_time"),
     )
 
 

@@ -21,9 +21,13 @@ class Source:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._given: dict[str, DataFrame] = {}
 
     def given(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        """A table of the folder; its files are listed and its schema read once per source."""
+        if name not in self._given:
+            self._given[name] = table(self.spark, self.folder, name)
+        return self._given[name]
 
     def language(self) -> DataFrame:
         return self.given("nation").select(
