@@ -12,12 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelayer.session import written
+
 # A key is busy when it has more rows than FLOOR and more than one SHARE-th of all rows. So there are
 # never more than SHARE busy keys, whatever the size of the table, and a frame of them can be broadcast.
 FLOOR = 1_000_000
 SHARE = 100_000
 # Pieces are of equal length in time, not in rows; cutting finer leaves room for bursts.
 SPARE = 8
+# A dimension counted to have no more rows than this is broadcast.
+SMALL = 500_000
 
 
 def busy_keys(
@@ -39,6 +43,16 @@ def busy_keys(
     return busy.select(*columns)
 
 
+def known_busy_keys(df: DataFrame, keys: Sequence[str], order: str, **cut: int) -> DataFrame | bool:
+    """Count the keys now: False if none is busy, else the busy ones, kept as a small written table.
+
+    One pass over the key and order columns. Passed on as ``busy``, it spares every operator on the same
+    keys its own pass, and in the common case of no busy key leaves plain windows.
+    """
+    busy = busy_keys(df, keys, order, **cut)
+    return False if busy.isEmpty() else written(busy, "busy-keys")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order.
 
@@ -58,16 +72,21 @@ def nearest_state(
     *,
     after: bool = False,
     own: bool = False,
-    busy: DataFrame | None = None,
+    busy: DataFrame | bool | None = None,
     floor: int = FLOOR,
     share: int = SHARE,
 ) -> DataFrame:
     """Add ``into``: the nearest non-null ``state`` before each row of the same key (or after it).
 
     ``order`` names the columns that order the rows of a key, a timestamp first. ``own`` lets a row see its
-    own state. ``busy`` takes the result of :func:`busy_keys` if the caller has it already, for the same
-    keys and any order column: it only decides where rows are cut, never what comes out.
+    own state. ``busy`` takes the result of :func:`known_busy_keys` or :func:`busy_keys` for the same keys and
+    any order column, or False where no key can be busy: it only decides where rows are cut, never what
+    comes out. Without it busy keys are found as part of the plan.
     """
+    sorting = [F.col(c).desc() if after else F.col(c).asc() for c in order]
+    if busy is False:
+        seen = Window.partitionBy(*keys).orderBy(*sorting).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+        return df.withColumn(into, F.last(state, ignorenulls=True).over(seen))
     if busy is None:
         busy = busy_keys(df, keys, order[0], floor=floor, share=share)
     same_key = [F.col(k).eqNullSafe(F.col(f"_busy_{k}")) for k in keys]
@@ -98,7 +117,7 @@ def nearest_state(
 
     inside = (
         Window.partitionBy(*keys, "_piece")
-        .orderBy("_own", *[F.col(c).desc() if after else F.col(c).asc() for c in order])
+        .orderBy("_own", *sorting)
         .rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     )
     return (
@@ -120,6 +139,21 @@ def _piece(order: str) -> Column:
     return F.when(F.col("_width").isNotNull(), piece).otherwise(F.lit(0))
 
 
+def lookup(
+    facts: DataFrame, dim: DataFrame, on: Sequence[str], salt_by: Sequence[str], dim_rows: int | None = None
+) -> DataFrame:
+    """Left join of facts to one dimension row each, by the counted size of the dimension.
+
+    A small dimension is broadcast and a large one joined by :func:`salted_lookup`, which reads the facts'
+    keys once more, so let ``facts`` be a stored table then. Without a count Catalyst chooses.
+    """
+    if dim_rows is None:
+        return facts.join(dim, list(on), "left")
+    if dim_rows <= SMALL:
+        return facts.join(F.broadcast(dim), list(on), "left")
+    return salted_lookup(facts, dim, on, salt_by)
+
+
 def salted_lookup(
     facts: DataFrame,
     dim: DataFrame,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelayer.functions.columns import TOTAL, clock, stable_uuid_sql
+from orelayer.functions.skew import lookup
 from orelayer.operators.silver import Clock, null
 
 # Extras a film may have, and the months of each season.
@@ -203,24 +205,31 @@ def fact_rental(
     d_staff: DataFrame,
     d_date: DataFrame,
     now: datetime | str | None = None,
+    rows: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per rental: dimension keys, both dates, planned and actual values, revenue.
 
-    Every join is a left lookup of one row. Catalyst broadcasts the dimensions it measures as small and
-    sorts and merges the others, where adaptive execution splits a key that holds many rentals. Revenue is
-    the sum paid, or the list rate where nothing was paid.
+    Every join is a left lookup of one row. ``rows`` gives the counted sizes of ``film``, ``store`` and
+    ``staff``: small ones are broadcast, and for large ones rentals of a busy key are spread over tasks.
+    Revenue is the sum paid, or the list rate where nothing was paid.
     """
-    planned = film.select("film_id", "rental_duration", "rental_rate", "replacement_cost")
+    rows = rows or {}
+    by = ["rental_id"]
+    films = film.select("film_id", "rental_duration", "rental_rate", "replacement_cost")
+    film_keys = d_film.selectExpr("film_id", "gl_dim_film_key AS film_key")
+    store_keys = d_store.selectExpr("store_id", "gl_dim_store_key AS store_key")
+    staff_keys = d_staff.selectExpr("staff_id", "gl_dim_staff_key AS staff_key")
     facts = rentals.select(
         "rental_id", "rental_date", "return_date", "rental_duration_actual", "revenue_amount",
         "film_id", "store_id", "staff_id",
     )
+    # Film values and keys come from two tables on one key: put together first, they cost one lookup.
+    films = films.join(film_keys, "film_id", "full_outer")
+    joined = lookup(facts, films, ["film_id"], by, rows.get("film"))
+    joined = lookup(joined, store_keys, ["store_id"], by, rows.get("store"))
+    joined = lookup(joined, staff_keys, ["staff_id"], by, rows.get("staff"))
     joined = (
-        facts.join(planned, "film_id", "left")
-        .join(d_film.selectExpr("film_id", "gl_dim_film_key AS film_key"), "film_id", "left")
-        .join(d_store.selectExpr("store_id", "gl_dim_store_key AS store_key"), "store_id", "left")
-        .join(d_staff.selectExpr("staff_id", "gl_dim_staff_key AS staff_key"), "staff_id", "left")
-        .join(
+        joined.join(
             d_date.selectExpr("date_key AS rental_date_key", "full_date AS _rented"),
             F.to_date("rental_date") == F.col("_rented"),
             "left",

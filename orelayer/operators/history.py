@@ -79,7 +79,7 @@ def history_from_changes(
     systime: datetime | str,
     *,
     deleted: Column | None = None,
-    busy: DataFrame | None = None,
+    busy: DataFrame | bool | None = None,
     **cut: int,
 ) -> DataFrame:
     """History rows from a feed of row states, ordered within a key by ``order`` (a timestamp first).
@@ -116,7 +116,7 @@ def history_from_changes(
     )
 
 
-def versions(history: DataFrame, keys: Sequence[str], *, busy: DataFrame | None = None, **cut: int) -> DataFrame:
+def versions(history: DataFrame, keys: Sequence[str], *, busy: DataFrame | bool | None = None, **cut: int) -> DataFrame:
     """Each state of a key with the span it held: ``valid_from`` to ``valid_to``, which is open now.
 
     A DELETE ends the version before it and is none itself. Versions of no length, where two changes took
@@ -152,7 +152,7 @@ def as_of_lookup(
     history: DataFrame,
     keys: Sequence[str],
     *,
-    busy: DataFrame | None = None,
+    busy: DataFrame | bool | None = None,
     **cut: int,
 ) -> DataFrame:
     """For each probe, the state its key had at the probe's own time; nulls where it had none.

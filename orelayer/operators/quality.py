@@ -238,9 +238,14 @@ def failing(df: DataFrame, checks: Sequence[RowCheck]) -> DataFrame:
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, field: str) -> DataFrame:
-    """Child rows that have no parent row, null keys included."""
+    """Child rows that have no parent row, null keys included.
+
+    Rows without a key need no join: kept out of it, they do not all meet in one task.
+    """
     keys = parent.select(F.col(field).alias("_parent"))
-    return child.join(keys, F.col(column) == F.col("_parent"), "left_anti")
+    known = child.where(F.col(column).isNotNull())
+    unmatched = known.join(keys, F.col(column) == F.col("_parent"), "left_anti")
+    return unmatched.unionByName(child.where(F.col(column).isNull()))
 
 
 def quality_score(checks: Sequence[RowCheck]) -> Column:

@@ -19,6 +19,7 @@ from orelayer.functions.columns import (
     stable_uuid,
     typed,
 )
+from orelayer.functions.skew import lookup
 from orelayer.operators.frames import sum_by
 
 Clock = datetime | str | None
@@ -197,17 +198,24 @@ def payments_per_rental(payment: DataFrame) -> DataFrame:
 
 
 def sl_rental_enriched(
-    rental: DataFrame, inventory: DataFrame, payment: DataFrame, now: Clock = None, *, random_keys: bool = False
+    rental: DataFrame,
+    inventory: DataFrame,
+    payment: DataFrame,
+    now: Clock = None,
+    *,
+    inventory_rows: int | None = None,
+    random_keys: bool = False,
 ) -> DataFrame:
     """Rentals with the film and store of the copy rented, hours out, and the sum paid.
 
     Payments are summed before the join, so a rental with many payments stays one row and a busy rental is
-    combined before any shuffle. Hours are null while the rental is open.
+    combined before any shuffle. Hours are null while the rental is open. ``inventory_rows`` is the counted
+    size of the inventory, which decides how a copy is looked up.
     """
     typed_rental = rental.select([conform(f) for f in RENTAL])
     copies = inventory.select([conform(f) for f in INVENTORY if f.source != "last_update"])
     paid = payments_per_rental(payment.select([conform(f) for f in PAYMENT]))
-    joined = typed_rental.join(paid, "rental_id", "left").join(copies, "inventory_id", "left")
+    joined = lookup(typed_rental.join(paid, "rental_id", "left"), copies, ["inventory_id"], ["rental_id"], inventory_rows)
     return joined.select(
         (random_uuid() if random_keys else stable_uuid("rental_id")).alias("sl_rental_key"),
         "rental_id",

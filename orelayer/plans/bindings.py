@@ -22,6 +22,7 @@ class Source:
         self.spark = spark
         self.folder = folder
         self._given: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
 
     def given(self, name: str) -> DataFrame:
         """A table of the folder; its files are listed and its schema read once per source."""
@@ -29,6 +30,12 @@ class Source:
             self._given[name] = table(self.spark, self.folder, name)
         return self._given[name]
 
+    def rows(self, name: str) -> int:
+        """The size of a table, counted from its file footers."""
+        if name not in self._rows:
+            self._rows[name] = self.given(name).count()
+        return self._rows[name]
+
     def language(self) -> DataFrame:
         return self.given("nation").select(
             F.col("n_nationkey").alias("language_id"),

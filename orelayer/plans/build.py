@@ -44,6 +44,10 @@ class Warehouse:
     def read(self, schema: str, name: str) -> DataFrame:
         return read_batch(self.spark, self.root, schema, name, self.batch_id)
 
+    def rows(self, schema: str, name: str) -> int:
+        """How many rows were written, as counted while writing."""
+        return next(n for s, t, n in reversed(self.written) if (s, t) == (schema, name))
+
     def put(self, schema: str, name: str, df: DataFrame) -> DataFrame:
         """Write a table of a layer and go on from what was written."""
         rows = write_batch(df, self.root, schema, name, self.batch_id)
@@ -70,7 +74,9 @@ def build(warehouse: Warehouse, sources: Mapping[str, DataFrame], as_of: str) ->
 
     put = partial(w.put, "silver")
     inventory = put("sl_inventory", silver.sl_inventory(w.bronze("inventory"), now))
-    rentals = put("sl_rental_enriched", silver.sl_rental_enriched(w.bronze("rental"), w.bronze("inventory"), w.bronze("payment"), now))
+    bronze = [w.bronze(name) for name in ("rental", "inventory", "payment")]
+    copies = w.rows("staging", "br_inventory")
+    rentals = put("sl_rental_enriched", silver.sl_rental_enriched(*bronze, now, inventory_rows=copies))
     film = put("sl_film", silver.sl_film(w.bronze("film"), now, silver.film_metrics(rentals)))
     language = put("sl_language", silver.sl_language(w.bronze("language"), now))
     customer = put("sl_customer", silver.sl_customer(w.bronze("customer"), now))
@@ -90,7 +96,8 @@ def build(warehouse: Warehouse, sources: Mapping[str, DataFrame], as_of: str) ->
     d_date = put("dim_date", gold.calendar(gold.date_bounds(rentals, "rental_date", "return_date"), as_of))
     quality.require(dimension_checks(d_film, d_store, d_staff, d_date), "gold dimensions")
 
-    facts = put("fact_rental", gold.fact_rental(rentals, film, d_film, d_store, d_staff, d_date, now))
+    sizes = {name: w.rows("gold", f"dim_{name}") for name in ("film", "store", "staff")}
+    facts = put("fact_rental", gold.fact_rental(rentals, film, d_film, d_store, d_staff, d_date, now, sizes))
     quality.require(fact_checks(facts, d_film), "gold facts")
     return w
 

@@ -14,7 +14,7 @@ from orelayer.functions import skew
 from orelayer.operators import frames, gold, history, quality, silver, synth
 from orelayer.plans import build
 from orelayer.plans.bindings import Source, accounts_after, accounts_before
-from orelayer.session import shared_dir
+from orelayer.session import shared_dir, written
 from orelayer.sources import readers, sinks
 from orelayer.streaming import changes, landing
 
@@ -93,7 +93,11 @@ def sl_inventory(source):
 
 
 def enriched(source: Source) -> DataFrame:
-    return silver.sl_rental_enriched(source.rental(), source.inventory(), source.payment(), NOW)
+    """Rentals with film, store and payments. There is at most one copy per part, so the parts, counted from
+    file footers, bound the inventory; beyond that bound the rentals are stored before they are looked up."""
+    copies = source.rows("part")
+    rental = source.rental() if copies <= skew.SMALL else written(source.rental(), "rental")
+    return silver.sl_rental_enriched(rental, source.inventory(), source.payment(), NOW, inventory_rows=copies)
 
 
 @query
@@ -163,14 +167,19 @@ def facts(source: Source) -> DataFrame:
     film = silver.sl_film(source.film(), NOW)
     store = silver.sl_store(source.store(), NOW)
     address = silver.sl_address(source.address(), NOW)
+    sizes = {"film": source.rows("part"), "store": source.rows("nation"), "staff": source.rows("supplier")}
+    rentals = enriched(source)
+    if max(sizes.values()) > skew.SMALL:
+        rentals = written(rentals, "rentals")
     return gold.fact_rental(
-        enriched(source),
+        rentals,
         film,
         gold.dim_film(film, silver.sl_language(source.language(), NOW)),
         gold.dim_store(store, address),
         gold.dim_staff(silver.sl_staff(source.staff(), NOW), store, address, NOW),
         gold.calendar(order_days(source), TODAY),
         NOW,
+        sizes,
     )
 
 
@@ -654,11 +663,13 @@ def history_append(source):
     return source.spark.read.parquet(sinks.layer_path(root, "history", "users")).drop("batch_id")
 
 
-def busy_users(source: Source) -> DataFrame:
-    return skew.busy_keys(source.given("events"), EVENT_KEYS, EVENT_ORDER[0])
+def busy_users(source: Source) -> DataFrame | bool:
+    return skew.known_busy_keys(source.given("events"), EVENT_KEYS, EVENT_ORDER[0])
 
 
-def event_history(source: Source, busy: DataFrame | None = None) -> DataFrame:
+def event_history(source: Source, busy: DataFrame | bool | None = None) -> DataFrame:
+    """User history from events. ``busy`` is counted first where the caller has not done it."""
+    busy = busy_users(source) if busy is None else busy
     return history.history_from_changes(
         source.given("events"), EVENT_KEYS, EVENT_STATE, EVENT_ORDER, NOW, busy=busy
     )
@@ -673,7 +684,13 @@ def history_from_events(source):
 def history_with_deletes(source):
     """An error ends a user; the next event starts the user anew."""
     return history.history_from_changes(
-        source.given("events"), EVENT_KEYS, EVENT_STATE, EVENT_ORDER, NOW, deleted=F.col("event_type") == "error"
+        source.given("events"),
+        EVENT_KEYS,
+        EVENT_STATE,
+        EVENT_ORDER,
+        NOW,
+        deleted=F.col("event_type") == "error",
+        busy=busy_users(source),
     )
 
 
@@ -686,7 +703,10 @@ def scd2_from_events(source):
 @query
 def scd2_busy_users(source):
     """As scd2_from_events, with limits so low that most users are cut into pieces."""
-    rows = event_history(source)
+    events = source.given("events")
+    rows = history.history_from_changes(
+        events, EVENT_KEYS, EVENT_STATE, EVENT_ORDER, NOW, floor=5, share=1000
+    )
     return history.versions(rows, EVENT_KEYS, floor=5, share=1000)
 
 
