@@ -178,7 +178,13 @@ def typed(column: Column | str, type_: str, *, strict: bool = False) -> Column:
         # The words "on" and "off" are booleans in the source databases but not in Spark.
         word = F.lower(F.trim(column.cast("string")))
         column = F.when(word == "on", "true").when(word == "off", "false").otherwise(column.cast("string"))
-    return column.cast(type_) if strict else column.try_cast(type_)
+    if strict:
+        return column.cast(type_)
+    value = column.try_cast(type_)
+    if type_ in ("date", "timestamp", "timestamp_ntz"):
+        # Spark reads a bare number as a year; one of five or more digits is no time.
+        return F.when(value < F.lit("10000-01-01").cast(type_), value)
+    return value
 
 
 def conform(field: Field, *, strict: bool = False) -> Column:
