@@ -39,12 +39,17 @@ UUID_LAYOUT = "$1-$2-$3-$4-$5"
 TOTAL = "decimal(28,2)"
 
 
+def clock_sql(value: datetime | date | str | None = None) -> str:
+    """:func:`clock` as SQL text."""
+    if value is None:
+        return "localtimestamp()"
+    text = value if isinstance(value, str) else value.isoformat()
+    return f"CAST('{text}' AS timestamp_ntz)"
+
+
 def clock(value: datetime | date | str | None = None) -> Column:
     """A zone-less timestamp: the given one, or the moment the query starts."""
-    if value is None:
-        return F.localtimestamp()
-    text = value if isinstance(value, str) else value.isoformat(sep=" ") if isinstance(value, datetime) else value.isoformat()
-    return F.lit(text).cast("timestamp_ntz")
+    return F.expr(clock_sql(value))
 
 
 # ---------------------------------------------------------------- bronze stamps
@@ -171,36 +176,44 @@ class Field(NamedTuple):
         return self.name or self.source
 
 
-def typed(column: Column | str, type_: str, *, strict: bool = False) -> Column:
+def typed_sql(column: str, type_: str, *, strict: bool = False) -> str:
     """Cast a landed value; a value that does not fit becomes null, or fails the job if ``strict``."""
-    column = F.col(column) if isinstance(column, str) else column
+    value = column
     if type_ == "boolean":
         # The words "on" and "off" are booleans in the source databases but not in Spark.
-        word = F.lower(F.trim(column.cast("string")))
-        column = F.when(word == "on", "true").when(word == "off", "false").otherwise(column.cast("string"))
+        text = f"CAST({column} AS string)"
+        value = f"CASE lower(trim({text})) WHEN 'on' THEN 'true' WHEN 'off' THEN 'false' ELSE {text} END"
     if strict:
-        return column.cast(type_)
-    value = column.try_cast(type_)
+        return f"CAST({value} AS {type_})"
+    cast = f"TRY_CAST({value} AS {type_})"
     if type_ in ("date", "timestamp", "timestamp_ntz"):
         # Spark reads a bare number as a year; one of five or more digits is no time.
-        return F.when(value < F.lit("10000-01-01").cast(type_), value)
-    return value
+        return f"CASE WHEN {cast} < CAST('10000-01-01' AS {type_}) THEN {cast} END"
+    return cast
 
 
-def conform(field: Field, *, strict: bool = False) -> Column:
-    """The column a field describes. Spark's varchar and char casts neither cut nor pad, so do it here."""
+def typed(column: str, type_: str, *, strict: bool = False) -> Column:
+    return F.expr(typed_sql(column, type_, strict=strict))
+
+
+def conform_sql(field: Field, *, strict: bool = False) -> str:
+    """The value a field describes. Spark's varchar and char casts neither cut nor pad, so do it here."""
     if field.type != "string":
-        return typed(field.source, field.type, strict=strict).alias(field.target)
-    text = F.col(field.source).cast("string")
+        return typed_sql(field.source, field.type, strict=strict)
+    text = f"CAST({field.source} AS string)"
     if field.length is not None:
-        text = F.left(text, F.lit(field.length))
+        text = f"left({text}, {field.length})"
         if field.pad:
-            text = F.rpad(text, field.length, " ")
-    return text.alias(field.target)
+            text = f"rpad({text}, {field.length}, ' ')"
+    return text
+
+
+def conform(field: Field, *, strict: bool = False) -> Column:
+    return F.expr(f"{conform_sql(field, strict=strict)} AS {field.target}")
 
 
 def conform_all(df: DataFrame, fields: Sequence[Field], *, strict: bool = False) -> DataFrame:
-    return df.select([conform(f, strict=strict) for f in fields])
+    return df.selectExpr(*[f"{conform_sql(f, strict=strict)} AS {f.target}" for f in fields])
 
 
 def lost_in_cast(field: Field) -> Column:
@@ -210,9 +223,9 @@ def lost_in_cast(field: Field) -> Column:
     return F.col(field.source).isNotNull() & typed(field.source, field.type).isNull()
 
 
-def full_name(first: Column | str, last: Column | str) -> Column:
+def full_name_sql(first: str, last: str) -> str:
     """Null if either part is: ``concat`` passes nulls on, ``concat_ws`` would skip them."""
-    return F.concat(first, F.lit(" "), last)
+    return f"concat({first}, ' ', {last})"
 
 
 # ---------------------------------------------------------------- table kinds
@@ -248,13 +261,13 @@ def tracked_columns(columns: Iterable[str], exclude: Iterable[str] = ()) -> list
 # ---------------------------------------------------------------- times
 
 
-def hours_between(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / F.lit(3.6e9)
+def hours_sql(start: str, end: str) -> str:
+    return f"timestampdiff(MICROSECOND, {start}, {end}) / 3.6e9D"
 
 
-def is_weekend(moment: Column | str) -> Column:
+def weekend_sql(moment: str) -> str:
     """Sunday is 1 and Saturday 7 in Spark; the source databases count Sunday as 0."""
-    return F.dayofweek(moment).isin(1, 7)
+    return f"dayofweek({moment}) IN (1, 7)"
 
 
 def money(column: Column | str, type_: str = "decimal(18,2)") -> Column:

@@ -8,9 +8,9 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelayer.functions.columns import TOTAL, clock, stable_uuid_sql
+from orelayer.functions.columns import TOTAL, clock, stable_uuid_sql, weekend_sql
 from orelayer.functions.skew import lookup
-from orelayer.operators.silver import Clock, null
+from orelayer.operators.silver import Clock
 
 # Extras a film may have, and the months of each season.
 EXTRAS = ["trailers", "commentaries", "deleted_scenes", "behind_scenes"]
@@ -140,14 +140,14 @@ def calendar(bounds: DataFrame, as_of: date | str, holidays: DataFrame | None =
     """
     days = bounds.select(F.explode(F.sequence("first_day", "last_day")).alias("full_date"))
     if holidays is None:
-        days = days.withColumns({"holiday_name": null("string"), "holiday_type": null("string")})
+        days = days.selectExpr("full_date", *_empty("string", "holiday_name", "holiday_type"))
     else:
         days = days.join(holidays.select("full_date", "holiday_name", "holiday_type"), "full_date", "left")
     day = as_of if isinstance(as_of, str) else as_of.isoformat()
     marked = days.selectExpr(
         "full_date AS d",
         f"DATE'{day}' AS today",
-        "dayofweek(full_date) IN (1, 7) AS weekend",
+        f"{weekend_sql('full_date')} AS weekend",
         "holiday_name IS NOT NULL AS holiday",
         "concat('Q', quarter(full_date)) AS q",
         "holiday_name",
@@ -253,7 +253,7 @@ def fact_rental(
         "rental_rate",
         "replacement_cost",
         f"CAST(coalesce(revenue_amount, rental_rate) AS {TOTAL}) AS revenue_amount",
-        "dayofweek(rental_date) IN (1, 7) AS is_weekend_rental",
+        f"{weekend_sql('rental_date')} AS is_weekend_rental",
         *_fixed("false", "is_holiday_rental"),
         *[f"{part}(rental_date) AS rental_{part}" for part in ("hour", "quarter", "month", "year")],
         *_fixed("_now", "gl_created_time", "gl_updated_time"),

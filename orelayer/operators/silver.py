@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from orelayer.functions.columns import (
     TOTAL,
     Field,
-    clock,
-    conform,
-    full_name,
-    hours_between,
-    random_uuid,
-    stable_uuid,
+    clock_sql,
+    conform_all,
+    conform_sql,
+    full_name_sql,
+    hours_sql,
+    stable_uuid_sql,
     typed,
 )
 from orelayer.functions.skew import lookup
@@ -87,47 +87,43 @@ RENTAL = [
     Field("staff_id", "bigint"),
     Field("last_update", "timestamp_ntz"),
 ]
+NOTHING = "CAST(0 AS bigint)"
 PAYMENT = [Field("rental_id", "bigint"), Field("amount", "decimal(12,2)")]
 
 
-def null(type_: str) -> Column:
-    return F.lit(None).cast(type_)
-
-
-def nothing() -> Column:
-    return F.lit(0).cast("bigint")
-
-
 def _audited(
     bronze: DataFrame,
     fields: Sequence[Field],
     entity: str,
     now: Clock,
     *,
-    computed: Mapping[str, Column] | None = None,
+    computed: Mapping[str, str] | None = None,
     touched: bool = False,
     linked: bool = False,
-    metrics: Mapping[str, Column] | None = None,
+    metrics: Mapping[str, str] | None = None,
     random_keys: bool = False,
     score: Column | None = None,
 ) -> DataFrame:
     """Typed columns, then computed ones, then the audit columns, then metrics.
 
     ``touched`` models replace the source's change time by the load time, ``linked`` ones carry a link to
-    the bronze row. The row key is drawn from the natural key unless ``random_keys``.
+    the bronze row. The row key is drawn from the natural key unless ``random_keys``. ``score`` fills the
+    data-quality score from the landed row.
     """
-    key = random_uuid() if random_keys else stable_uuid(fields[0].source)
-    columns = [key.alias(f"sl_{entity}_key"), *[conform(f) for f in fields]]
-    columns += [c.alias(name) for name, c in (computed or {}).items()]
+    moment = clock_sql(now)
+    columns = {f"sl_{entity}_key": "uuid()" if random_keys else stable_uuid_sql(fields[0].source)}
+    columns |= {f.target: conform_sql(f) for f in fields} | dict(computed or {})
     if touched:
-        columns.append(clock(now).alias("last_update"))
-    columns += [clock(now).alias("sl_created_time"), clock(now).alias("sl_updated_time")]
+        columns["last_update"] = moment
+    columns |= {"sl_created_time": moment, "sl_updated_time": moment}
     if linked:
-        columns.append(null("string").alias("sl_source_bronze_key"))
-    columns.append(F.lit(True).alias("sl_is_active"))
-    columns.append((null("double") if score is None else score).alias("sl_data_quality_score"))
-    columns += [c.alias(name) for name, c in (metrics or {}).items()]
-    return bronze.select(*columns)
+        columns["sl_source_bronze_key"] = "CAST(NULL AS string)"
+    columns |= {"sl_is_active": "true", "sl_data_quality_score": "CAST(NULL AS double)"}
+    if score is not None:
+        bronze = bronze.withColumn("br_score", score)
+        columns["sl_data_quality_score"] = "br_score"
+    columns |= dict(metrics or {})
+    return bronze.selectExpr(*[f"{value} AS {name}" for name, value in columns.items()])
 
 
 def _measured(silver: DataFrame, metrics: DataFrame | None, key: str) -> DataFrame:
@@ -135,13 +131,10 @@ def _measured(silver: DataFrame, metrics: DataFrame | None, key: str) -> DataFra
     if metrics is None:
         return silver
     names = [c for c in metrics.columns if c != key]
-    values = metrics.select(key, *[F.col(c).alias(f"_new_{c}") for c in names])
-    joined = silver.join(values, key, "left")
-    return joined.select(
-        *[
-            F.coalesce(F.col(f"_new_{c}").cast(silver.schema[c].dataType), F.col(c)).alias(c) if c in names else F.col(c)
-            for c in silver.columns
-        ]
+    types = dict(silver.dtypes)
+    joined = silver.join(metrics.selectExpr(key, *[f"{c} AS new_{c}" for c in names]), key, "left")
+    return joined.selectExpr(
+        *[f"coalesce(CAST(new_{c} AS {types[c]}), {c}) AS {c}" if c in names else c for c in silver.columns]
     )
 
 
@@ -150,17 +143,17 @@ def sl_language(bronze: DataFrame, now: Clock = None, **options) -> DataFrame:
 
 
 def sl_address(bronze: DataFrame, now: Clock = None, counters: DataFrame | None = None, **options) -> DataFrame:
-    empty = {"sl_customer_count": nothing(), "sl_store_count": nothing()}
+    empty = {"sl_customer_count": NOTHING, "sl_store_count": NOTHING}
     silver = _audited(bronze, ADDRESS, "address", now, touched=True, linked=True, metrics=empty, **options)
     return _measured(silver, counters, "address_id")
 
 
 def sl_store(bronze: DataFrame, now: Clock = None, metrics: DataFrame | None = None, **options) -> DataFrame:
     empty = {
-        "sl_total_revenue": F.lit(0.0),
-        "sl_total_customers": nothing(),
-        "sl_total_rentals": nothing(),
-        "sl_avg_rental_rate": null("double"),
+        "sl_total_revenue": "CAST(0 AS double)",
+        "sl_total_customers": NOTHING,
+        "sl_total_rentals": NOTHING,
+        "sl_avg_rental_rate": "CAST(NULL AS double)",
     }
     silver = _audited(bronze, STORE, "store", now, touched=True, linked=True, metrics=empty, **options)
     return _measured(silver, metrics, "store_id")
@@ -168,17 +161,17 @@ def sl_store(bronze: DataFrame, now: Clock = None, metrics: DataFrame | None = N
 
 def sl_film(bronze: DataFrame, now: Clock = None, metrics: DataFrame | None = None, **options) -> DataFrame:
     empty = {
-        "sl_rental_count": nothing(),
-        "sl_total_revenue": F.lit(0).cast(TOTAL),
-        "sl_avg_rental_duration": null("double"),
+        "sl_rental_count": NOTHING,
+        "sl_total_revenue": f"CAST(0 AS {TOTAL})",
+        "sl_avg_rental_duration": "CAST(NULL AS double)",
     }
     silver = _audited(bronze, FILM, "film", now, touched=True, linked=True, metrics=empty, **options)
     return _measured(silver, metrics, "film_id")
 
 
-def _person(fields: Sequence[Field]) -> dict[str, Column]:
-    first, last = (conform(f) for f in fields if f.source in ("first_name", "last_name"))
-    return {"full_name": full_name(first, last)}
+def _person(fields: Sequence[Field]) -> dict[str, str]:
+    first, last = (conform_sql(f) for f in fields if f.source in ("first_name", "last_name"))
+    return {"full_name": full_name_sql(first, last)}
 
 
 def sl_customer(bronze: DataFrame, now: Clock = None, **options) -> DataFrame:
@@ -212,12 +205,13 @@ def sl_rental_enriched(
     combined before any shuffle. Hours are null while the rental is open. ``inventory_rows`` is the counted
     size of the inventory, which decides how a copy is looked up.
     """
-    typed_rental = rental.select([conform(f) for f in RENTAL])
-    copies = inventory.select([conform(f) for f in INVENTORY if f.source != "last_update"])
-    paid = payments_per_rental(payment.select([conform(f) for f in PAYMENT]))
+    typed_rental = conform_all(rental, RENTAL)
+    copies = conform_all(inventory, INVENTORY[:3])
+    paid = payments_per_rental(conform_all(payment, PAYMENT))
     joined = lookup(typed_rental.join(paid, "rental_id", "left"), copies, ["inventory_id"], ["rental_id"], inventory_rows)
-    return joined.select(
-        (random_uuid() if random_keys else stable_uuid("rental_id")).alias("sl_rental_key"),
+    moment = clock_sql(now)
+    return joined.selectExpr(
+        f"{'uuid()' if random_keys else stable_uuid_sql('rental_id')} AS sl_rental_key",
         "rental_id",
         "rental_date",
         "return_date",
@@ -225,16 +219,16 @@ def sl_rental_enriched(
         "staff_id",
         "film_id",
         "store_id",
-        hours_between("rental_date", "return_date").alias("rental_duration_actual"),
-        null("double").alias("rental_duration_planned"),
-        null("decimal(4,2)").alias("rental_rate"),
-        null("decimal(5,2)").alias("replacement_cost"),
+        f"{hours_sql('rental_date', 'return_date')} AS rental_duration_actual",
+        "CAST(NULL AS double) AS rental_duration_planned",
+        "CAST(NULL AS decimal(4,2)) AS rental_rate",
+        "CAST(NULL AS decimal(5,2)) AS replacement_cost",
         "revenue_amount",
         "last_update",
-        clock(now).alias("sl_created_time"),
-        clock(now).alias("sl_updated_time"),
-        F.lit(True).alias("sl_is_active"),
-        null("double").alias("sl_data_quality_score"),
+        f"{moment} AS sl_created_time",
+        f"{moment} AS sl_updated_time",
+        "true AS sl_is_active",
+        "CAST(NULL AS double) AS sl_data_quality_score",
     )
 
 
@@ -252,29 +246,25 @@ def film_metrics(rentals: DataFrame) -> DataFrame:
     )
 
 
-def store_metrics(rentals: DataFrame, films: DataFrame) -> DataFrame:
-    """Per store: sum paid, distinct customers, rentals, mean list rate of the films rented."""
+def store_metrics(rentals: DataFrame, films: DataFrame, film_rows: int | None = None) -> DataFrame:
+    """Per store: sum paid, distinct customers, rentals, mean list rate of the films rented.
+
+    One pass: rows are combined per store and customer before the shuffle that counts customers.
+    ``film_rows`` is the counted size of the films, which decides how their rates are looked up.
+    """
     rates = films.select("film_id", F.col("rental_rate").alias("_rate"))
-    # Rentals are combined per store and film first: the join with films then sees few rows per busy film.
-    per_film = (
-        rentals.where(F.col("store_id").isNotNull())
-        .groupBy("store_id", "film_id")
-        .agg(F.count(F.lit(1)).alias("_rentals"), F.sum("revenue_amount").alias("_paid"))
-        .join(rates, "film_id", "left")
-    )
-    rated = F.sum(F.when(F.col("_rate").isNotNull(), F.col("_rentals")))
-    totals = per_film.groupBy("store_id").agg(
-        F.coalesce(F.sum("_paid"), F.lit(0)).cast("double").alias("sl_total_revenue"),
-        F.sum("_rentals").alias("sl_total_rentals"),
-        (F.sum(F.col("_rate") * F.col("_rentals")).cast("double") / rated).alias("sl_avg_rental_rate"),
+    known = rentals.where(F.col("store_id").isNotNull()).select(
+        "rental_id", "store_id", "film_id", "customer_id", "revenue_amount"
     )
-    customers = (
-        rentals.where(F.col("store_id").isNotNull())
+    return (
+        lookup(known, rates, ["film_id"], ["rental_id"], film_rows)
         .groupBy("store_id")
-        .agg(F.count_distinct("customer_id").alias("sl_total_customers"))
-    )
-    return totals.join(customers, "store_id").select(
-        "store_id", "sl_total_revenue", "sl_total_customers", "sl_total_rentals", "sl_avg_rental_rate"
+        .agg(
+            F.coalesce(F.sum("revenue_amount"), F.lit(0)).cast("double").alias("sl_total_revenue"),
+            F.count_distinct("customer_id").alias("sl_total_customers"),
+            F.count(F.lit(1)).alias("sl_total_rentals"),
+            (F.sum("_rate").cast("double") / F.count("_rate")).alias("sl_avg_rental_rate"),
+        )
     )
 
 
@@ -293,7 +283,7 @@ def address_counters(customers: DataFrame, stores: DataFrame) -> DataFrame:
 def staff_metrics(rentals: DataFrame, payment: DataFrame) -> DataFrame:
     """Per member of staff: rentals, payments and their sum and mean, through the rental paid for."""
     paid = (
-        payment.select([conform(f) for f in PAYMENT])
+        conform_all(payment, PAYMENT)
         .groupBy("rental_id")
         .agg(F.count("amount").alias("_payments"), F.sum("amount").alias("_paid"))
     )

@@ -81,7 +81,7 @@ def build(warehouse: Warehouse, sources: Mapping[str, DataFrame], as_of: str) ->
     language = put("sl_language", silver.sl_language(w.bronze("language"), now))
     customer = put("sl_customer", silver.sl_customer(w.bronze("customer"), now))
     staff = put("sl_staff", silver.sl_staff(w.bronze("staff"), now))
-    store = put("sl_store", silver.sl_store(w.bronze("store"), now, silver.store_metrics(rentals, film)))
+    store = put("sl_store", silver.sl_store(w.bronze("store"), now, silver.store_metrics(rentals, film, w.rows("silver", "sl_film"))))
     address = put("sl_address", silver.sl_address(w.bronze("address"), now, silver.address_counters(customer, store)))
     checks = silver_checks(
         language=language, address=address, store=store, film=film, customer=customer, staff=staff,
