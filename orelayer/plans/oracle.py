@@ -597,6 +597,7 @@ ORACLE["as_of_lookup"] = f"""WITH {HISTORY},
   probes AS (SELECT event_id, user_id, ts - INTERVAL 1 HOUR AS asked_at FROM events)
   SELECT p.event_id, p.user_id, p.asked_at, v.event_type AS as_of_event_type, v.valid_from AS as_of_valid_from
   FROM probes p ASOF LEFT JOIN versions v ON p.user_id = v.user_id AND p.asked_at >= v.valid_from"""
+ORACLE["as_of_lookup_busy_users"] = ORACLE["as_of_lookup"]
 ORACLE["rebuild_current"] = """SELECT user_id, event_type FROM events QUALIFY row_number() OVER (
   PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 ORACLE["reconcile"] = "SELECT user_id, event_type AS operation_type FROM events WHERE false"
