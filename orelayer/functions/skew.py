@@ -140,18 +140,23 @@ def _piece(order: str) -> Column:
 
 
 def lookup(
-    facts: DataFrame, dim: DataFrame, on: Sequence[str], salt_by: Sequence[str], dim_rows: int | None = None
+    facts: DataFrame,
+    dim: DataFrame,
+    on: Sequence[str],
+    salt_by: Sequence[str],
+    dim_rows: int | None = None,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of facts to one dimension row each, by the counted size of the dimension.
+    """Join of facts to one dimension row each, by the counted size of the dimension.
 
     A small dimension is broadcast and a large one joined by :func:`salted_lookup`, which reads the facts'
     keys once more, so let ``facts`` be a stored table then. Without a count Catalyst chooses.
     """
     if dim_rows is None:
-        return facts.join(dim, list(on), "left")
+        return facts.join(dim, list(on), how)
     if dim_rows <= SMALL:
-        return facts.join(F.broadcast(dim), list(on), "left")
-    return salted_lookup(facts, dim, on, salt_by)
+        return facts.join(F.broadcast(dim), list(on), how)
+    return salted_lookup(facts, dim, on, salt_by, how)
 
 
 def salted_lookup(

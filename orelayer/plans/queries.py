@@ -209,7 +209,9 @@ def rentals_by_hour(source):
 
 @query
 def overdue_returns(source):
-    return gold.overdue_returns(source.customer(), source.rental(), TODAY)
+    customers = source.rows("customer")
+    rental = stored_if(customers > skew.SMALL, source.rental(), "rental")
+    return gold.overdue_returns(source.customer(), rental, TODAY, customers)
 
 
 @query
@@ -776,6 +778,17 @@ def stream_landing(source):
     return source.spark.read.parquet(f"{root}/staging/br_events").drop("batch_id")
 
 
+@query
+def stream_landing_once(source):
+    """Every event arrives twice; copies are dropped while landing."""
+    root = shared_dir(source.spark, "landing")
+    doubled = money_columns(arriving_events(source), "value").unionByName(
+        money_columns(arriving_events(source), "value")
+    )
+    landing.land_arriving(doubled, root, "events", f"{root}/checkpoint", NOW, once=True).awaitTermination()
+    return source.spark.read.parquet(f"{root}/staging/br_events").drop("batch_id")
+
+
 @query
 def stream_without_repeats(source):
     """Every event arrives twice and lands once."""

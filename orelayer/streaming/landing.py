@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from orelayer.functions.columns import business_columns, record_hash, stamp_batch
-from orelayer.sources.sinks import write_batch
+from orelayer.sources.sinks import layer_path, write_batch
 
 
 def read_arriving(
@@ -43,16 +43,28 @@ def land_arriving(
     schema: str = "staging",
     prefix: str = "stream-",
     text: bool = True,
+    once: bool = False,
 ) -> StreamingQuery:
     """Land everything not landed before, then stop; the checkpoint takes the place of a mark table.
 
     Each micro-batch is one bronze batch in its own folder. A micro-batch that runs again after a failure
-    has the same number and replaces that folder, so rows land exactly once.
+    has the same number and replaces that folder, so rows land exactly once. With ``once`` a row whose
+    record hash was landed before is left out: copies within a micro-batch are combined in every task
+    before the shuffle, however many there are of one row, and the rest is compared with the hashes of
+    earlier batches. There is no state to outgrow and no late data, but each micro-batch reads the hashes.
     """
+    name = f"br_{table}"
 
     def land(rows: DataFrame, epoch: int) -> None:
         batch_id = f"{prefix}{epoch}"
-        write_batch(stamp_batch(rows, table, batch_id, load_time, text=text), root, schema, f"br_{table}", batch_id)
+        stamped = stamp_batch(rows, table, batch_id, load_time, text=text)
+        if once:
+            stamped = stamped.dropDuplicates(["br_record_hash"])
+            folders = [f"{layer_path(root, schema, name)}/batch_id={prefix}{n}" for n in range(epoch)]
+            if folders:
+                landed = rows.sparkSession.read.schema(stamped.schema).parquet(*folders).select("br_record_hash")
+                stamped = stamped.join(landed, "br_record_hash", "left_anti").select(*stamped.columns)
+        write_batch(stamped, root, schema, name, batch_id)
 
     return (
         stream.writeStream.foreachBatch(land)
@@ -67,6 +79,8 @@ def without_repeats(
 ) -> DataFrame:
     """Drop rows whose record hash was seen before, for repeats that arrive within ``delay`` of each other.
 
+    Copies of one row meet in one task; where a row may have very many copies, land with ``once`` instead.
+
     The state kept per row is its hash until the watermark passes it. Rows later than the watermark are
     late data and are not landed; choose ``delay`` to cover the source. A watermark needs a zoned timestamp,
     so a zone-less one is read in the session's zone.

@@ -8,7 +8,7 @@ from orelayer.plans.queries import QUERIES
 from tests.compare import database, differences
 
 
-@pytest.mark.parametrize("name", ["fact_rental", "sl_rental_enriched", "store_metrics"])
+@pytest.mark.parametrize("name", ["fact_rental", "sl_rental_enriched", "store_metrics", "overdue_returns"])
 def test_large_dimensions(spark, folder, monkeypatch, name):
     monkeypatch.setattr(skew, "SMALL", 0)
     got = QUERIES[name](spark, folder).toArrow()

@@ -77,6 +77,19 @@ def test_landing_takes_only_new_files(spark, arriving, tmp_path):
     assert spark.read.parquet(f"{root}/staging/br_events").count() == 301
 
 
+@pytest.mark.parametrize("per_batch", [1, 10])
+def test_landing_once(spark, arriving, tmp_path, per_batch):
+    rows, folder = arriving
+    copies = rows.where("id < 3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).select(rows.columns)
+    copies.unionByName(rows.limit(50)).repartition(3).write.mode("append").parquet(folder)
+    query = landing.land_arriving(
+        stream(spark, folder, per_batch), str(tmp_path), "events", str(tmp_path / "ck"), NOW, text=False, once=True
+    )
+    query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/staging/br_events")
+    assert got.count() == 300 and same(got.select(rows.columns), rows)
+
+
 def test_repeats_land_once(spark, arriving, tmp_path):
     rows, folder = arriving
     rows.limit(50).coalesce(1).write.mode("append").parquet(folder)
