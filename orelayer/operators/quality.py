@@ -196,8 +196,8 @@ def check_history_pair(
 ) -> DataFrame:
     """A history table has every tracked and history column and no excluded one.
 
-    The clocks ``effective_time`` and ``systime`` are history columns, not excluded ones. The last row
-    gives the excluded columns of the primary table as its count.
+    The clocks ``effective_time`` and ``systime`` are history columns, not excluded ones. The last two rows
+    give how many columns of the primary table are tracked and excluded.
     """
     tracked = tracked_columns(primary.names, exclude)
     excluded = [c for c in primary.names if c not in tracked]
@@ -208,6 +208,7 @@ def check_history_pair(
         for c in excluded
         if c in history.names and c not in HISTORY_COLUMNS
     ]
+    rows.append((table, "tracked_columns", "*", len(tracked), "PASS"))
     rows.append((table, "excluded_columns", "*", len(excluded), "PASS"))
     return _static(spark, rows)
 

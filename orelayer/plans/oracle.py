@@ -535,6 +535,7 @@ ORACLE["history_pair_check"] = union(
     [
         line("accounts", "tracked_column_missing", "segment", "SELECT 1"),
         line("accounts", "excluded_column_present", "holder_cache", "SELECT 1"),
+        """SELECT 'accounts', 'tracked_columns', '*', CAST(5 AS BIGINT), 'PASS'""",
         """SELECT 'accounts', 'excluded_columns', '*', CAST(1 AS BIGINT), 'PASS'""",
     ]
 )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from orelayer.functions.columns import business_columns, record_hash, stamp_batch
+from orelayer.functions.columns import business_columns, plain_columns, record_hash, stamp_batch
 from orelayer.sources.sinks import layer_path, write_batch
 
 
@@ -87,7 +87,7 @@ def without_repeats(
     """
     hashed = stream.withColumns(
         {
-            "br_record_hash": record_hash(list(columns or business_columns(stream))),
+            "br_record_hash": record_hash(list(columns or business_columns(stream)), plain_columns(stream)),
             "_time": F.col(time).cast("timestamp"),
         }
     )

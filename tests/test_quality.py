@@ -96,7 +96,10 @@ def test_history_pair(spark):
     primary = StructType.fromDDL("doc_id int, title string, content_blob string, effective_time timestamp_ntz, systime timestamp_ntz")
     good = StructType.fromDDL("doc_id int, title string, history_id string, effective_time timestamp_ntz, systime timestamp_ntz, operation_type string")
     rows = quality.check_history_pair(spark, "docs", primary, good).collect()
-    assert [(r.check_name, r.failing_rows, r.status) for r in rows] == [("excluded_columns", 3, "PASS")]
+    assert [(r.check_name, r.failing_rows, r.status) for r in rows] == [
+        ("tracked_columns", 2, "PASS"),
+        ("excluded_columns", 3, "PASS"),
+    ]
     bad = StructType.fromDDL("doc_id int, content_blob string, history_id string, effective_time timestamp_ntz, systime timestamp_ntz")
     names = {(r.check_name, r.column_name) for r in quality.check_history_pair(spark, "docs", primary, bad).collect()}
     assert {("tracked_column_missing", "title"), ("history_column_missing", "operation_type"), ("excluded_column_present", "content_blob")} < names
