@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelayer.llm import line_dedup
+from orelayer.llm import line_dedup, mixing, token_counts
 from orelayer.llm.text import table
 
 
@@ -16,6 +16,20 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import path  # only this query needs the vocabulary files
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op8_token_counts": op8_token_counts,
 }
