@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelayer.llm import line_dedup, mixing, token_counts
+from orelayer.llm import line_dedup, mixing, quality_rules, token_counts
 from orelayer.llm.text import table
 
 
@@ -21,6 +21,11 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules.apply_rules(docs)
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from public_tokenizers import path  # only this query needs the vocabulary files
 
@@ -31,5 +36,6 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
 }
