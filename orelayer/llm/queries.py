@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelayer.llm import line_dedup, mixing, quality_rules, token_counts
-from orelayer.llm.text import table
+from orelayer.llm import language, line_dedup, mixing, quality_rules, token_counts
+from orelayer.llm.text import held_out, table
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    languages = language.learn(docs, ~held_out(docs["doc_id"]))
+    found = language.identify(docs, languages)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +41,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
