@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelayer.llm import language, line_dedup, mixing, quality_rules, token_counts
+from orelayer.llm import language, line_dedup, mixing, quality_rules, token_counts, toxicity
 from orelayer.llm.text import held_out, table
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -43,6 +50,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
