@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelayer.llm import chat, language, line_dedup, mixing, quality_rules, token_counts, toxicity
+from orelayer.llm import chat, jaccard, language, line_dedup, mixing, quality_rules, token_counts, toxicity
 from orelayer.llm.text import held_out, table
 
 
@@ -55,6 +55,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, path("byte_bpe_50k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -63,4 +67,5 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op10_jaccard_join": op10_jaccard_join,
 }
