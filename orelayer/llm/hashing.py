@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -9,6 +10,7 @@ import numpy as np
 
 BLOCK = 1 << 20
 ODD = 0x9E3779B97F4A7C15
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
 
@@ -70,8 +72,17 @@ def word_hashes(text: str, separators: np.ndarray) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def segments(text: str) -> Iterator[str]:
+    """A long text in parts that end at white space, so that no word is cut."""
+    start = 0
+    while len(text) - start > BLOCK and (found := _SPACE.search(text, start + BLOCK)):
+        yield text[start : found.start()]
+        start = found.end()
+    yield text[start:]
+
+
 def hashed_words(texts: Iterable[str | None], separators: np.ndarray) -> Iterator[np.ndarray]:
-    """The word hashes of each text in turn. Short texts are hashed together, with a blank between them."""
+    """The word hashes of each text in turn. Short texts are hashed together, long ones part by part."""
     held: list[str] = []
     size = 0
 
@@ -85,6 +96,12 @@ def hashed_words(texts: Iterable[str | None], separators: np.ndarray) -> Iterato
             yield hashes[low:high]
 
     for text in texts:
+        if text and len(text) > BLOCK:
+            if held:
+                yield from flush()
+                held, size = [], 0
+            yield np.concatenate([word_hashes(part, separators) for part in segments(text)])
+            continue
         held.append(text or "")
         size += len(held[-1]) + 1
         if size >= BLOCK:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelayer.llm import chat, jaccard, language, line_dedup, mixing, quality_rules, token_counts, toxicity
+from orelayer.llm import chat, decontaminate, jaccard, language, line_dedup, mixing, quality_rules, token_counts, toxicity
 from orelayer.llm.text import held_out, table
 
 
@@ -48,6 +48,11 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_rules(docs)
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_items(docs, table(spark, folder, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from public_tokenizers import path  # only this query needs the vocabulary files
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
 }
