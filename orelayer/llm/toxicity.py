@@ -28,14 +28,18 @@ from pyspark.sql import functions as F
 from orelayer.llm import grams
 
 
+# Passages that are worked on at a time where a whole sample would take too much of the driver's memory.
+SLICE = 20_000
+
+
 @dataclass(frozen=True)
 class Settings:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     dim: int = 8
     passage: int = 8
-    sample: int = 1500
-    train_chars: int = 20_000
+    sample: int = 1000
+    train_chars: int = 10_000
     epochs: int = 8
     batch: int = 256
     rate: float = 0.05
@@ -100,24 +104,43 @@ def highest(texts: list[str | None], weight: np.ndarray, bias: float, settings:
 
 def _bags(texts: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all passages: their text, where their buckets start, the buckets. Rare buckets share bucket 0."""
-    owner, passage, bucket, base = [], [], [], 0
+    owner, sizes, bucket = [], [], []
     for owners, parts in grams.blocks(texts):
         found, own = _passages(parts, settings)
         owner.append(np.asarray(owners)[own])
-        passage += [p.astype(np.int32) + base for p, _ in found]
-        bucket += [b.astype(np.int32) for _, b in found]
-        base += len(own)
-    passages, buckets = np.concatenate(passage), np.concatenate(bucket)
-    order = np.argsort(passages, kind="stable")
-    passages, buckets = passages[order], buckets[order]
+        passages = np.concatenate([p for p, _ in found])
+        bucket.append(np.concatenate([b for _, b in found])[np.argsort(passages, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(passages, minlength=len(own)))
+    buckets = np.concatenate(bucket)
     common = np.bincount(buckets, minlength=1 << settings.bits) >= settings.min_passages
-    buckets = np.where(common[buckets], buckets, 0)
-    return np.concatenate(owner), np.searchsorted(passages, np.arange(base + 1)), buckets
+    buckets = np.where(common[buckets], buckets, np.int32(0))
+    return np.concatenate(owner), np.cumsum([0, *np.concatenate(sizes)]), buckets
+
+
+def _pairs(owner: np.ndarray, starts: np.ndarray, buckets: np.ndarray, bits: int) -> np.ndarray:
+    """The distinct pairs of document and bucket, found some passages at a time."""
+    found = []
+    for low in range(0, len(owner), SLICE):
+        high = min(low + SLICE, len(owner))
+        own = np.repeat(owner[low:high].astype(np.int64), np.diff(starts[low : high + 1]))
+        found.append(np.unique(own << bits | buckets[starts[low] : starts[high]]))
+    return np.unique(np.concatenate(found))
+
+
+def _means(weight: np.ndarray, starts: np.ndarray, buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The mean weight of every passage's buckets, some passages at a time."""
+    found = np.zeros(len(sizes))
+    for low in range(0, len(sizes), SLICE):
+        high = min(low + SLICE, len(sizes))
+        row = np.repeat(np.arange(high - low), sizes[low:high])
+        sums = np.bincount(row, weights=weight[buckets[starts[low] : starts[high]]], minlength=high - low)
+        found[low:high] = sums / np.maximum(sizes[low:high], 1)
+    return found
 
 
 def _evidence(owner: np.ndarray, starts: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, settings: Settings) -> np.ndarray:
     """Per bucket the log odds of toxic documents among those that have it, in standard deviations; weak ones are 0."""
-    pairs = np.unique(np.repeat(owner, np.diff(starts)).astype(np.int64) << settings.bits | buckets)
+    pairs = _pairs(owner, starts, buckets, settings.bits)
     has, size = pairs & ((1 << settings.bits) - 1), 1 << settings.bits
     bad = np.bincount(has, weights=toxic[pairs >> settings.bits], minlength=size)
     good, share = np.bincount(has, minlength=size) - bad, toxic.mean()
@@ -148,7 +171,7 @@ def train(texts: list[str], toxic: np.ndarray, settings: Settings = Settings())
     chosen = np.flatnonzero(sizes > 0)
     for _ in range(settings.epochs):
         weight = embed @ (soft[:, 1] - soft[:, 0])
-        logit = np.add.reduceat(weight[buckets], starts[chosen]) / sizes[chosen]
+        logit = _means(weight, starts, buckets, sizes)[chosen]
         order = np.lexsort((-logit, owner[chosen]))
         top = np.ones(len(order), bool)
         top[1:] = np.diff(owner[chosen][order]) != 0
