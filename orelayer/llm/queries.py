@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelayer.llm import chat, decontaminate, jaccard, language, line_dedup, mixing, quality_rules, token_counts, toxicity
+from orelayer.llm import chat, decontaminate, jaccard, language, line_dedup, mixing, quality_rules, substring, token_counts, toxicity
 from orelayer.llm.text import held_out, table
 
 
@@ -60,6 +60,11 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, path("byte_bpe_50k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.find_passages(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", F.size("passages").alias("n_passages"), "repeated_words")
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -73,5 +78,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
