@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orelayer.llm import hashing
 
@@ -235,71 +237,85 @@ class Index:
         return share
 
 
-def find_items(
-    docs: DataFrame, items: DataFrame, test: Test = Test(), ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """A row per document and test item found in it: score, overlap of question and answer, first word of the passage."""
-    body = docs.select(docs[ident].alias("id"), docs[text].alias("text"))
-    kind, item_kind = body.schema["id"].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    schema = f"id {kind}, item {item_kind}, score double, question double, answer double, start bigint"
+def _found(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, float, float, float, int]]:
+    """Text, item, score, overlaps and first word, searched some texts at a time."""
+    held: list[np.ndarray] = []
+    base = size = 0
+    for words in _words(texts):
+        held.append(words)
+        size += len(words)
+        if size >= index.test.words_at_once:
+            for owner, *rest in index.search(held):
+                yield base + owner, *rest
+            base, held, size = base + len(held), [], 0
+    if held:
+        for owner, *rest in index.search(held):
+            yield base + owner, *rest
+
+
+def _indexes(items: DataFrame, test: Test, item: str, item_text: str) -> Iterator[Broadcast]:
+    """The broadcast indexes of the blocks of items, shortest items first."""
     rows = items.select(items[item], items[item_text]).orderBy(F.length(items[item_text]), items[item], items[item_text])
-    spark, found = docs.sparkSession, None
-    for block in _blocks(rows, test):
-        shipped = spark.sparkContext.broadcast(Index(test, block))
-        part = body.mapInArrow(_searching(shipped, body.schema["id"], item_kind, spark), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return found.select(
-        F.col("id").alias(ident), F.col("item").alias(item), "score", F.col("question").alias("question_overlap"),
-        F.col("answer").alias("answer_overlap"), F.col("start").alias("start_word"),
-    )
-
-
-def _blocks(rows: DataFrame, test: Test) -> Iterator[list[Item]]:
     held: list[tuple] = []
+    context = items.sparkSession.sparkContext
     for row in rows.toLocalIterator():
         held.append((row[0], row[1]))
         if len(held) == test.items:
             if block := parse_items(held, test.run):
-                yield block
+                yield context.broadcast(Index(test, block))
             held = []
     if block := parse_items(held, test.run):
-        yield block
-
-
-def _searching(shipped, ident, item_kind: str, spark):  # noqa: ANN001, ANN202
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    id_type, item_type = to_arrow_type(ident.dataType), to_arrow_type(_parse_datatype_string(item_kind))
-
-    def searching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shipped.value
-        for batch in batches:
-            found: dict[str, list] = defaultdict(list)
-            ids = batch.column(0)
-            held: list[np.ndarray] = []
-            base = size = 0
-
-            def search() -> None:
-                for owner, item, score, asked, told, start in index.search(held):
-                    for name, value in zip(
-                        ("id", "item", "score", "question", "answer", "start"),
-                        (ids[base + owner].as_py(), index.items[item].ident, score, asked, told, start),
-                    ):
-                        found[name].append(value)
-
-            for words in _words(batch.column(1).to_pylist()):
-                held.append(words)
-                size += len(words)
-                if size >= index.test.words_at_once:
-                    search()
-                    base, held, size = base + len(held), [], 0
-            if held:
-                search()
-            if found:
-                kinds = (id_type, item_type, pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found.values(), kinds)], list(found))
-
-    return searching
+        yield context.broadcast(Index(test, block))
+
+
+def find_items(
+    docs: DataFrame, items: DataFrame, test: Test = Test(), ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """A row per document and test item found in it: score, overlap of question and answer, first word of the passage."""
+    body = docs.select(docs[ident].alias("id"), docs[text].alias("text"))
+    item_type = items.select(items[item].alias("item")).schema["item"].dataType
+    schema = T.StructType(
+        [T.StructField("id", body.schema["id"].dataType), T.StructField("item", item_type)]
+        + [T.StructField(c, T.DoubleType()) for c in ("score", "question", "answer")]
+        + [T.StructField("start", T.LongType())]
+    )
+    arrow_item = to_arrow_type(item_type)
+
+    def searching(shipped: Broadcast):  # noqa: ANN202
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index: Index = shipped.value
+            for batch in batches:
+                rows = list(_found(batch.column(1).to_pylist(), index))
+                owner, item_at, score, asked, told, start = zip(*rows) if rows else [()] * 6
+                idents = pa.array([index.items[i].ident for i in item_at], arrow_item)
+                numbers = [pa.array(c, pa.float64()) for c in (score, asked, told)]
+                columns = [batch.column(0).take(pa.array(owner, pa.int64())), idents, *numbers, pa.array(start, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "item", "score", "question", "answer", "start"])
+
+        return search
+
+    found = docs.sparkSession.createDataFrame([], schema)
+    for shipped in _indexes(items, test, item, item_text):
+        found = found.unionByName(body.mapInArrow(searching(shipped), schema))
+    names = {"id": ident, "item": item, "score": "score", "question": "question_overlap", "answer": "answer_overlap", "start": "start_word"}
+    return found.select(*[F.col(c).alias(n) for c, n in names.items()])
+
+
+def without_items(
+    docs: DataFrame, items: DataFrame, test: Test = Test(), text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no test item is found. Nothing is shuffled."""
+    place = docs.columns.index(text)
+
+    def clean(shipped: Broadcast):  # noqa: ANN202
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[owner for owner, *_ in _found(batch.column(place).to_pylist(), shipped.value)]] = False
+                yield batch.filter(pa.array(stays))
+
+        return keep
+
+    for shipped in _indexes(items, test, item, item_text):
+        docs = docs.mapInArrow(clean(shipped), docs.schema)
+    return docs

@@ -223,3 +223,17 @@ def _joined(members: DataFrame, labels: DataFrame, ident: str) -> DataFrame:
     return found.select(
         F.col("id").alias(ident), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id")
     )
+
+
+def keep_one_per_group(docs: DataFrame, join: Join = Join(), ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those linked to a document of a smaller id. Rows with a null id stay;
+    of rows that repeat an id and a text one stays."""
+    linked = link_documents(docs, join, ident, text)
+    gone = written(linked.where(F.col(ident) != F.col("component_id")).select(ident).distinct(), "linked-ids")
+    left = docs.join(F.broadcast(gone) if gone.count() <= join.broadcast_ids else gone, ident, "left_anti").select(*docs.columns)
+    again = docs.where(F.col(ident).isNotNull()).groupBy(ident).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).select(ident)
+    again = written(again, "repeated-ids")
+    if not again.head(1):
+        return left
+    once = left.join(again, ident, "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(again, ident, "left_semi").select(*docs.columns).dropDuplicates([ident, text]))

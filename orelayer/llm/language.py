@@ -158,30 +158,46 @@ def _counted(texts: list[str | None], settings: Settings, langs: int) -> Iterato
         yield merged()
 
 
+def _judged(texts: list[str | None], languages: Languages) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
+    """Language, score and proportions of each text."""
+    names, settings = languages.names, languages.settings
+    pred, score, shares = [UNKNOWN] * len(texts), np.zeros(len(texts)), [{} for _ in texts]
+    for doc, bucket, times in _counted(texts, settings, len(names)) if names else ():
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        found = proportions(_Mixtures(starts, languages.chances[bucket], times), settings)
+        for number, row in zip(doc[starts], found):
+            top = int(row.argmax())
+            pred[number], score[number] = names[top], min(1.0, float(row[top]))
+            shares[number] = {names[i]: float(row[i]) for i in np.flatnonzero(row > 0)}
+    for number, body in enumerate(texts):
+        if pred[number] != UNKNOWN and not grams.has_letter(body):
+            pred[number], score[number], shares[number] = UNKNOWN, 0.0, {}
+    return pred, score, shares
+
+
 def identify(docs: DataFrame, languages: Languages, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``ident``, ``lang_pred``, ``score`` and ``shares``: the proportion of every language of the document's set."""
-    names, chances, settings = languages.names, languages.chances, languages.settings
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            pred, score, shares = [UNKNOWN] * len(texts), np.zeros(len(texts)), [{} for _ in texts]
-            for doc, bucket, times in _counted(texts, settings, len(names)) if names else ():
-                starts = np.flatnonzero(np.diff(doc, prepend=-1))
-                found = proportions(_Mixtures(starts, chances[bucket], times), settings)
-                for number, row in zip(doc[starts], found):
-                    top = int(row.argmax())
-                    pred[number], score[number] = names[top], min(1.0, float(row[top]))
-                    shares[number] = {names[i]: float(row[i]) for i in np.flatnonzero(row > 0)}
-            for number, body in enumerate(texts):
-                if pred[number] != UNKNOWN and not grams.has_letter(body):
-                    pred[number], score[number], shares[number] = UNKNOWN, 0.0, {}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64()))],
-                ["id", "lang_pred", "score", "shares"],
-            )
+            pred, score, shares = _judged(batch.column(1).to_pylist(), languages)
+            maps = pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64()))
+            columns = [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), maps]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "shares"])
 
     body = docs.select(docs[ident].alias("id"), docs[text].alias("text"))
     kind = body.schema["id"].dataType.simpleString()
     found = body.mapInArrow(judged, f"id {kind}, lang_pred string, score double, shares map<string,double>")
     return found.withColumnRenamed("id", ident)
+
+
+def keep_identified(docs: DataFrame, languages: Languages, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language that makes up ``least`` of it. Nothing is shuffled."""
+    place = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score, _ = _judged(batch.column(place).to_pylist(), languages)
+            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

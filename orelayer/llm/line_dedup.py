@@ -120,3 +120,19 @@ def dedup_lines(
         kept_text(body, F.col("keep")).alias("kept"),
         "original",
     )
+
+
+def without_repeated_lines(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", chars: str = "n_chars", min_chars: int = 20, min_docs: int = 3
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with the text that stays; ``chars``, if there, is its new length.
+
+    A null text stays null; a document that loses every line stays as an empty text.
+    """
+    found = dedup_lines(docs, ident, text, min_chars, min_docs).withColumn("before", F.col(f"original.`{text}`"))
+    changed = F.col("keep").isNotNull()
+    values = {
+        text: F.when(changed, F.col("kept")).otherwise(F.col("before")),
+        chars: F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col(f"original.`{chars}`")) if chars in docs.columns else None,
+    }
+    return found.select(*[(F.col(f"original.`{c}`") if values.get(c) is None else values[c]).alias(c) for c in docs.columns])
