@@ -8,7 +8,16 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DateType,
+    MapType,
+    NumericType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 # Column sets and names that stored tables share.
 BRONZE_FILE_COLUMNS = [
@@ -89,16 +98,20 @@ def stamp_batch(
     """Add the ``br_*`` columns of the staging layout, the record hash included.
 
     ``text`` rewrites every business column as text, which is how staging tables hold them; leave it off
-    to keep source types. The hash is the same either way.
+    to keep source types. The hash is the same either way. A source that has one of the added columns
+    already is an error: its values would be lost.
     """
-    business = business_columns(df)
+    taken = {*BRONZE_FILE_COLUMNS, *BRONZE_TABLE_COLUMNS, f"br_{table}_key"} & {c.lower() for c in df.columns}
+    if taken:
+        raise ValueError(f"the source has columns that landing adds: {sorted(taken)}")
+    business = df.columns
     landed = df.withColumns(
         {
             "br_load_time": clock(load_time),
             "br_source_table": F.lit(f"{schema}.{table}" if schema else table),
             "br_batch_id": F.lit(batch_id),
             "br_is_current": F.lit(True),
-            "br_record_hash": record_hash(business, plain_columns(df)),
+            "br_record_hash": record_hash(business, plain_columns(df), nested_columns(df)),
         }
     )
     if random_key:
@@ -107,7 +120,9 @@ def stamp_batch(
 
 
 def business_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if not c.startswith(("br_", "bronze_"))]
+    """All columns but the audit columns, by their exact names."""
+    added = {*BRONZE_FILE_COLUMNS, *BRONZE_TABLE_COLUMNS}
+    return [c for c in df.columns if c not in added]
 
 
 def plain_columns(df: DataFrame) -> list[str]:
@@ -116,6 +131,11 @@ def plain_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, plain)]
 
 
+def nested_columns(df: DataFrame) -> list[str]:
+    """Columns that hold arrays, maps or structs, whose plain text is ambiguous."""
+    return [f.name for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+
+
 def as_text(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     chosen = set(business_columns(df) if columns is None else columns)
     return df.select([F.col(c).cast("string").alias(c) if c in chosen else F.col(c) for c in df.columns])
@@ -124,17 +144,23 @@ def as_text(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
 # ---------------------------------------------------------------- hashes and keys
 
 
-def record_hash(columns: Sequence[Column | str], plain: Iterable[str] = ()) -> Column:
+def record_hash(
+    columns: Sequence[Column | str], plain: Iterable[str] = (), nested: Iterable[str] = ()
+) -> Column:
     r"""md5 over the columns, in the order given, joined by ``|``.
 
     A null is written ``\N`` and a backslash or bar inside a value is escaped, so rows that differ only in
     where a null or a bar stands never share a hash. Rows without any of these hash as the plain joined text.
     ``plain`` names columns whose text holds neither, such as numbers and times: they skip the escaping.
+    ``nested`` names arrays, maps and structs: they are written as JSON, nulls included, which tells
+    ``["a, b"]`` from ``["a", "b"]`` and a null from the word.
     """
-    unescaped = set(plain)
+    unescaped, structured = set(plain), set(nested)
     parts = []
     for column in columns:
         text = _col(column).cast("string")
+        if isinstance(column, str) and column in structured:
+            text = F.to_json(_col(column), {"ignoreNullFields": "false"})
         if isinstance(column, str) and column in unescaped:
             parts.append(F.coalesce(text, F.lit("\\N")))
             continue
@@ -176,9 +202,14 @@ class Field(NamedTuple):
         return self.name or self.source
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def typed_sql(column: str, type_: str, *, strict: bool = False) -> str:
-    """Cast a landed value; a value that does not fit becomes null, or fails the job if ``strict``."""
-    value = column
+    """Cast a landed column; a value that does not fit becomes null, or fails the job if ``strict``."""
+    column = value = quoted(column)
     if type_ == "boolean":
         # The words "on" and "off" are booleans in the source databases but not in Spark.
         text = f"CAST({column} AS string)"
@@ -187,8 +218,9 @@ def typed_sql(column: str, type_: str, *, strict: bool = False) -> str:
         return f"CAST({value} AS {type_})"
     cast = f"TRY_CAST({value} AS {type_})"
     if type_ in ("date", "timestamp", "timestamp_ntz"):
-        # Spark reads a bare number as a year; one of five or more digits is no time.
-        return f"CASE WHEN {cast} < CAST('10000-01-01' AS {type_}) THEN {cast} END"
+        # Spark reads a bare number in a text as a year; one of five or more digits is no time.
+        number = f"typeof({column}) = 'string' AND CAST({column} AS string) RLIKE '^ *[+-]?[0-9]{{5,}}'"
+        return f"CASE WHEN NOT coalesce({number}, false) THEN {cast} END"
     return cast
 
 
@@ -200,7 +232,7 @@ def conform_sql(field: Field, *, strict: bool = False) -> str:
     """The value a field describes. Spark's varchar and char casts neither cut nor pad, so do it here."""
     if field.type != "string":
         return typed_sql(field.source, field.type, strict=strict)
-    text = f"CAST({field.source} AS string)"
+    text = f"CAST({quoted(field.source)} AS string)"
     if field.length is not None:
         text = f"left({text}, {field.length})"
         if field.pad:
@@ -209,18 +241,18 @@ def conform_sql(field: Field, *, strict: bool = False) -> str:
 
 
 def conform(field: Field, *, strict: bool = False) -> Column:
-    return F.expr(f"{conform_sql(field, strict=strict)} AS {field.target}")
+    return F.expr(conform_sql(field, strict=strict)).alias(field.target)
 
 
 def conform_all(df: DataFrame, fields: Sequence[Field], *, strict: bool = False) -> DataFrame:
-    return df.selectExpr(*[f"{conform_sql(f, strict=strict)} AS {f.target}" for f in fields])
+    return df.select(*[conform(f, strict=strict) for f in fields])
 
 
 def lost_in_cast(field: Field) -> Column:
-    """True where a value is present but its cast is not."""
+    """True where a value is present but its cast is not, or where a text is cut."""
     if field.type == "string":
-        return F.lit(False)
-    return F.col(field.source).isNotNull() & typed(field.source, field.type).isNull()
+        return F.lit(False) if field.length is None else F.length(F.expr(f"CAST({quoted(field.source)} AS string)")) > field.length
+    return F.col(quoted(field.source)).isNotNull() & typed(field.source, field.type).isNull()
 
 
 def full_name_sql(first: str, last: str) -> str:

@@ -12,8 +12,7 @@ from orelayer.functions.columns import TOTAL, clock, stable_uuid_sql, weekend_sq
 from orelayer.functions.skew import lookup
 from orelayer.operators.silver import Clock
 
-# Extras a film may have, and the months of each season.
-EXTRAS = ["trailers", "commentaries", "deleted_scenes", "behind_scenes"]
+# The months of each season. Output column names of the models below are fixed too.
 SEASONS = {"Winter": [12, 1, 2], "Spring": [3, 4, 5], "Summer": [6, 7, 8], "Autumn": [9, 10, 11]}
 
 
@@ -42,7 +41,7 @@ def dim_film(film: DataFrame, language: DataFrame) -> DataFrame:
         "rental_duration AS rental_duration_days",
         "rental_rate",
         "replacement_cost",
-        *_fixed("false", *[f"has_{extra}" for extra in EXTRAS]),
+        *_fixed("false", "has_trailers", "has_commentaries", "has_deleted_scenes", "has_behind_scenes"),
         *_fixed("0", "special_features_count", "total_inventory_copies"),
         "coalesce(sl_rental_count, 0) AS total_rentals",
         f"coalesce(sl_total_revenue, CAST(0 AS {TOTAL})) AS total_revenue",
@@ -66,7 +65,7 @@ def dim_store(store: DataFrame, address: DataFrame) -> DataFrame:
         f"{stable_uuid_sql('store_id')} AS gl_dim_store_key",
         "store_id",
         "manager_staff_id",
-        *_fixed("''", *[f"manager_{part}" for part in ("first_name", "last_name", "full_name")]),
+        *_fixed("''", "manager_first_name", "manager_last_name", "manager_full_name"),
         *_empty("string", "manager_email"),
         "address_line1",
         "address_line2",
@@ -76,7 +75,10 @@ def dim_store(store: DataFrame, address: DataFrame) -> DataFrame:
         "phone",
         *_fixed("''", "country"),
         "last_update",
-        *[f"sl_{m} AS {m}" for m in ("total_customers", "total_rentals", "total_revenue", "avg_rental_rate")],
+        "sl_total_customers AS total_customers",
+        "sl_total_rentals AS total_rentals",
+        "sl_total_revenue AS total_revenue",
+        "sl_avg_rental_rate AS avg_rental_rate",
         *_fixed("0", "total_inventory_items", "active_customers"),
         *_empty("decimal(8,2)", "revenue_per_customer"),
         *_empty("double", "inventory_turnover_rate", "customer_retention_rate", "avg_rentals_per_day"),
@@ -199,7 +201,6 @@ def date_bounds(df: DataFrame, *moments: str) -> DataFrame:
 
 def fact_rental(
     rentals: DataFrame,
-    film: DataFrame,
     d_film: DataFrame,
     d_store: DataFrame,
     d_staff: DataFrame,
@@ -209,28 +210,31 @@ def fact_rental(
 ) -> DataFrame:
     """One row per rental: dimension keys, both dates, planned and actual values, revenue.
 
-    Every join is a left lookup of one row. ``rows`` gives the counted sizes of ``film``, ``store`` and
-    ``staff``: small ones are broadcast, and for large ones rentals of a busy key are spread over tasks.
+    Every join is a left lookup of one row; a film's planned values come from its dimension, with its key. ``rows``
+    gives the counted sizes of ``film``, ``store`` and ``staff``: small ones are broadcast, and for large ones rentals of a busy key are spread over tasks.
     Revenue is the sum paid, or the list rate where nothing was paid.
     """
     rows = rows or {}
     by = ["rental_id"]
-    films = film.select("film_id", "rental_duration", "rental_rate", "replacement_cost")
-    film_keys = d_film.selectExpr("film_id", "gl_dim_film_key AS film_key")
+    films = d_film.selectExpr(
+        "film_id",
+        "gl_dim_film_key AS film_key",
+        "rental_duration_days AS rental_duration",
+        "rental_rate",
+        "replacement_cost",
+    )
     store_keys = d_store.selectExpr("store_id", "gl_dim_store_key AS store_key")
     staff_keys = d_staff.selectExpr("staff_id", "gl_dim_staff_key AS staff_key")
     facts = rentals.select(
         "rental_id", "rental_date", "return_date", "rental_duration_actual", "revenue_amount",
         "film_id", "store_id", "staff_id",
     )
-    # Film values and keys come from two tables on one key: put together first, they cost one lookup.
-    films = films.join(film_keys, "film_id", "full_outer")
     joined = lookup(facts, films, ["film_id"], by, rows.get("film"))
     joined = lookup(joined, store_keys, ["store_id"], by, rows.get("store"))
     joined = lookup(joined, staff_keys, ["staff_id"], by, rows.get("staff"))
     joined = (
         joined.join(
-            d_date.selectExpr("date_key AS rental_date_key", "full_date AS _rented"),
+            d_date.selectExpr("date_key AS rental_date_key", "full_date AS _rented", "is_holiday AS _holiday"),
             F.to_date("rental_date") == F.col("_rented"),
             "left",
         )
@@ -243,7 +247,11 @@ def fact_rental(
     return joined.withColumn("_now", clock(now)).selectExpr(
         f"{stable_uuid_sql('rental_id')} AS gl_fact_rental_key",
         "rental_id",
-        *[f"{role}_key" for role in ("film", "store", "staff", "rental_date", "return_date")],
+        "film_key",
+        "store_key",
+        "staff_key",
+        "rental_date_key",
+        "return_date_key",
         "to_date(rental_date) AS rental_date",
         "rental_date AS rental_datetime",
         "to_date(return_date) AS return_date",
@@ -254,7 +262,7 @@ def fact_rental(
         "replacement_cost",
         f"CAST(coalesce(revenue_amount, rental_rate) AS {TOTAL}) AS revenue_amount",
         f"{weekend_sql('rental_date')} AS is_weekend_rental",
-        *_fixed("false", "is_holiday_rental"),
+        "coalesce(_holiday, false) AS is_holiday_rental",
         *[f"{part}(rental_date) AS rental_{part}" for part in ("hour", "quarter", "month", "year")],
         *_fixed("_now", "gl_created_time", "gl_updated_time"),
     )

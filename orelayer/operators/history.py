@@ -79,6 +79,7 @@ def history_from_changes(
     systime: datetime | str,
     *,
     deleted: Column | None = None,
+    carried: Column | None = None,
     busy: DataFrame | bool | None = None,
     **cut: int,
 ) -> DataFrame:
@@ -87,9 +88,11 @@ def history_from_changes(
     The first state of a key is an INSERT and later ones an UPDATE only where a tracked column differs from
     the state before. Rows where ``deleted`` holds end the entity: a DELETE with the last values, after
     which the next state is an INSERT again. The last column of ``order`` tells the rows of a key apart.
+    Rows where ``carried`` holds are the state that others start from and give no history themselves.
     """
     gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
-    rows = changes.select(*dict.fromkeys([*keys, *tracked, *order]), gone.alias("_gone"))
+    known = F.lit(False) if carried is None else F.coalesce(carried, F.lit(False))
+    rows = changes.select(*dict.fromkeys([*keys, *tracked, *order]), gone.alias("_gone"), known.alias("_carried"))
     now = F.struct("_gone", *tracked)
     rows = nearest_state(rows, keys, order, now, "_before", busy=busy, **cut)
 
@@ -104,7 +107,7 @@ def history_from_changes(
     )
     return (
         rows.withColumn("operation_type", operation)
-        .where(F.col("operation_type").isNotNull())
+        .where(F.col("operation_type").isNotNull() & ~F.col("_carried"))
         .select(
             *keys,
             *[F.when(F.col("_gone"), F.col(f"_before.{c}")).otherwise(F.col(c)).alias(c) for c in tracked],

@@ -15,6 +15,7 @@ from orelayer.functions.columns import (
     EXTRACTION_METHODS,
     HISTORY_COLUMNS,
     Field,
+    business_columns,
     lost_in_cast,
     tracked_columns,
 )
@@ -50,7 +51,9 @@ def bronze_checks(columns: Sequence[str]) -> list[RowCheck]:
 
 
 def cast_checks(fields: Sequence[Field]) -> list[RowCheck]:
-    return [RowCheck("cast", f.target, lost_in_cast(f)) for f in fields if f.type != "string"]
+    """Values that do not cast, and texts that are cut."""
+    checked = [f for f in fields if f.type != "string" or f.length is not None]
+    return [RowCheck("cut" if f.type == "string" else "cast", f.target, lost_in_cast(f)) for f in checked]
 
 
 def status(failing: Column) -> Column:
@@ -168,13 +171,13 @@ def check_counts(counts: DataFrame, expected: Mapping[str, int | None]) -> DataF
 
 def check_contract(df: DataFrame, table: str, fields: Sequence[Field], allow_extra: bool = False) -> DataFrame:
     """A landed table against its declared columns: missing, extra, and present values that do not cast."""
-    landed = [c for c in df.columns if not c.startswith(("br_", "bronze_"))]
+    landed = business_columns(df)
     declared = [f.source for f in fields]
     schema_checks = [RowCheck("missing_column", c, F.lit(True)) for c in declared if c not in landed]
     if not allow_extra:
         schema_checks += [RowCheck("extra_column", c, F.lit(True)) for c in landed if c not in declared]
     structure = _static(df.sparkSession, [(table, c.name, c.column, 1, "FAIL") for c in schema_checks])
-    present = [f for f in fields if f.source in landed and f.type != "string"]
+    present = [f for f in fields if f.source in landed and (f.type != "string" or f.length is not None)]
     return structure.unionByName(check_rows(df, table, cast_checks(present))) if present else structure
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orelayer.functions.columns import clock, stamp_source
+from orelayer.session import file_names
 
-SNAPSHOT_NAME = r"/(\d{8}_\d{6})\.(?:parquet|json)/"  # fixed value: yyyymmdd_hhmmss folder names
+SNAPSHOT_NAME = r"(\d{8}_\d{6})\.(parquet|json)"  # fixed value: yyyymmdd_hhmmss folder names
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -120,11 +122,12 @@ def read_mark(marks: DataFrame, source_table: str) -> datetime | None:
 
 
 def scan_summary(df: DataFrame, source_table: str, sample_rows: int = 1000) -> DataFrame:
-    """How many rows a table has and how many a capped sample of it holds, in one pass."""
+    """How many rows a table has, and how many came when its first ``sample_rows`` rows were read."""
     count = F.count(F.lit(1))
-    return df.agg(
-        count.alias("row_count"), F.least(count, F.lit(sample_rows)).cast("bigint").alias("sample_rows_read")
-    ).select(F.lit(source_table).alias("source_table"), "row_count", "sample_rows_read")
+    sampled = extract(df, limit=sample_rows).agg(count).scalar()
+    return df.agg(count.alias("row_count")).select(
+        F.lit(source_table).alias("source_table"), "row_count", sampled.alias("sample_rows_read")
+    )
 
 
 # ---------------------------------------------------------------- snapshots
@@ -133,13 +136,23 @@ def scan_summary(df: DataFrame, source_table: str, sample_rows: int = 1000) -> D
 def read_snapshots(spark: SparkSession, root: str, source_system: str, table_name: str) -> DataFrame:
     """Every parquet snapshot of a table, with its name in ``bronze_snapshot``."""
     rows = spark.read.parquet(f"{root}/{source_system}/{table_name}/*.parquet")
-    return rows.withColumn("bronze_snapshot", F.regexp_extract(F.col("_metadata.file_path"), SNAPSHOT_NAME, 1))
+    return rows.withColumn("bronze_snapshot", F.regexp_extract(F.col("_metadata.file_path"), f"/{SNAPSHOT_NAME}/", 1))
 
 
-def read_latest_snapshot(spark: SparkSession, root: str, source_system: str, table_name: str) -> DataFrame:
-    """The newest snapshot only. Its name is found from file names, reading no column of the data."""
-    newest = read_snapshots(spark, root, source_system, table_name).agg(F.max("bronze_snapshot")).first()[0]
-    return spark.read.parquet(f"{root}/{source_system}/{table_name}/{newest}.parquet")
+def read_latest_snapshot(
+    spark: SparkSession, root: str, source_system: str, table_name: str, schema: StructType | str | None = None
+) -> DataFrame:
+    """The newest snapshot only, found by listing folder names; no job runs and no file is opened for that.
+
+    Of one time the parquet form is read. ``schema`` is needed where the newest snapshot is JSON.
+    """
+    folder = f"{root}/{source_system}/{table_name}"
+    names = [m for m in map(re.compile(SNAPSHOT_NAME).fullmatch, file_names(spark, f"{folder}/*")) if m]
+    if not names:
+        raise FileNotFoundError(f"no snapshot in {folder}")
+    newest = max(names, key=lambda m: (m[1], m[2] == "parquet"))
+    path = f"{folder}/{newest[0]}"
+    return spark.read.parquet(path) if newest[2] == "parquet" else read_json(spark, path, schema)
 
 
 def source_tables(

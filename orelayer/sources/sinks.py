@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orelayer.functions.columns import clock
 
+# The columns of the ingestion log.
 LOG_SCHEMA = (
     "source_table string, target_schema string, row_count bigint, ingestion_time timestamp_ntz, "
     "run_id string, status string"

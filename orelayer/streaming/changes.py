@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from orelayer.functions.columns import clock, record_hash, stable_uuid
+from orelayer.functions.columns import clock, nested_columns, record_hash, stable_uuid
 from orelayer.functions.skew import busy_keys, latest_per_key
 from orelayer.operators.history import history_from_changes
-from orelayer.sources.sinks import write_batch
+from orelayer.session import written
+from orelayer.sources.sinks import balanced, layer_path, write_batch
+from orelayer.streaming.landing import claim
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -53,23 +55,24 @@ def history_stream(
 
     Within a micro-batch the rows of a key are applied in ``order``; across micro-batches in order of
     arrival. The rows of one key in one micro-batch meet in one task, so bound the micro-batch at the
-    source. Hashes and history columns are computed by Spark; tracked values cross Python as text. (Names
-    with a leading underscore do not survive the trip into a stateful processor.)
+    source, or use :func:`capture_batches`, which cuts such a key. Hashes and history columns are computed by
+    Spark; tracked values pass through with the types they have. (Names with a leading underscore do not
+    survive the trip into a stateful processor.)
     """
+    nested = [c for c in nested_columns(changes) if c in tracked]
     rows = changes.select(
         *keys,
         *order,
-        *[F.col(c).cast("string").alias(f"text_{c}") for c in tracked],
-        record_hash(tracked).alias("state_hash"),
+        *[F.col(c).alias(f"value_{c}") for c in tracked],
+        record_hash(tracked, nested=nested).alias("state_hash"),
     )
     out = StructType(list(rows.schema.fields) + [StructField("operation_type", StringType())])
     kept = rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=ChangeFilter(order), outputStructType=out, outputMode="append", timeMode="none"
     )
-    types = {c: changes.schema[c].dataType for c in tracked}
     return kept.select(
         *keys,
-        *[F.col(f"text_{c}").cast(types[c]).alias(c) for c in tracked],
+        *[F.col(f"value_{c}").alias(c) for c in tracked],
         stable_uuid(*keys, order[-1], "operation_type").alias("history_id"),
         F.col(order[0]).alias("effective_time"),
         clock(systime).alias("systime"),
@@ -100,38 +103,44 @@ def capture_batches(
     table: str,
     checkpoint: str,
     systime: str,
+    *,
+    stream: str | None = None,
+    buckets: int = 64,
 ) -> StreamingQuery:
     """As :func:`history_stream`, with every micro-batch run as a batch job on the JVM.
 
-    The last state of each key is a table beside the history, one version per micro-batch. It is put before
-    the micro-batch's rows, so a key that fills the micro-batch is cut into pieces like in any batch.
-    Prefer this where one key may hold much of a micro-batch, and the keyed state store where there are far
-    more keys than changes: here each micro-batch rewrites the state table.
+    The last state of each key is a table beside the history, in ``buckets`` of a hash of the key. A micro-batch
+    reads and rewrites the buckets its keys fall into, under its own number, and notes where the newest version of
+    every bucket is. That state is put before the micro-batch's rows, so a key that fills the micro-batch is cut into
+    pieces like in any batch. Rows without a time count as the earliest of their micro-batch. ``stream`` names the
+    batches as in :func:`orelayer.streaming.landing.land_arriving`.
     """
     columns = list(dict.fromkeys([*keys, *tracked, *order]))
-    before_all = clock("0001-01-01 00:00:00")
-    state_path = f"{root}/state/{table}"
-
-    def capture(rows: DataFrame, epoch: int) -> None:
-        arrived = rows.select(*columns).withColumn("_seen", F.lit(False))
-        if epoch > 0:
-            seen = rows.sparkSession.read.schema(rows.select(*columns).schema).parquet(f"{state_path}/epoch-{epoch - 1}")
-            touched = arrived.select(*keys).distinct()
-            carried = seen.join(touched, list(keys), "left_semi").withColumn("_seen", F.lit(True))
-            arrived = arrived.unionByName(carried)
-        else:
-            seen = None
-        # Rows already applied sort before the ones that arrived, whatever their own time is.
-        at = F.when(F.col("_seen"), before_all).otherwise(F.col(order[0]))
-        applied = arrived.withColumn("_at", at)
-        busy = busy_keys(rows, keys, order[0])
-        history = history_from_changes(applied, keys, tracked, ["_at", *order[1:]], systime, busy=busy)
-        fresh = history.where(F.col("effective_time") > before_all)
-        write_batch(fresh, root, "history", table, f"stream-{epoch}")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+    def capture(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        name = claim(spark, layer_path(root, "history", table), checkpoint, stream)
+        state = f"{root}/state/{table}/{name}"
+        rows = written(batch.select(*columns), "micro-batch").withColumn("bucket", bucket)
+        touched = {r.bucket for r in rows.select("bucket").distinct().collect()}
+        newest_of = _heads(spark, state, epoch - 1)
+        paths = [f"{state}/epoch-{newest_of[b]}/bucket={b}" for b in sorted(touched) if b in newest_of]
+        seen = spark.read.schema(batch.select(*columns).schema).parquet(*paths) if paths else rows.select(*columns).limit(0)
+        carried = seen.join(rows.select(*keys).distinct(), list(keys), "left_semi").withColumn("_seen", F.lit(True))
+        arrived = rows.select(*columns).withColumn("_seen", F.lit(False)).unionByName(carried)
+        # Nulls sort first: rows already applied have no time here and come before those that arrived without one.
+        applied = arrived.withColumns({"_at": F.when(~F.col("_seen"), F.col(order[0])), "_new": (~F.col("_seen")).cast("int")})
+        history = history_from_changes(
+            applied, keys, tracked, ["_at", "_new", *order], systime,
+            carried=F.col("_seen"), busy=busy_keys(rows, keys, order[0]),
+        )
+        write_batch(history, root, "history", table, f"{name}-{epoch}")
         newest = latest_per_key(rows.select(*columns), keys, *[F.desc(c) for c in order])
-        if seen is not None:
-            newest = newest.unionByName(seen.join(newest.select(*keys), list(keys), "left_anti"))
-        newest.write.mode("overwrite").parquet(f"{state_path}/epoch-{epoch}")
+        newest = newest.unionByName(seen.join(newest.select(*keys), list(keys), "left_anti"))
+        balanced(newest.withColumn("bucket", bucket), ["bucket"]).write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/epoch-{epoch}")
+        heads = {**newest_of, **{b: epoch for b in touched}}
+        spark.createDataFrame(list(heads.items()), "bucket int, epoch bigint").coalesce(1).write.mode("overwrite").parquet(f"{state}/heads-{epoch}")
 
     return (
         changes.writeStream.foreachBatch(capture)
@@ -139,3 +148,10 @@ def capture_batches(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _heads(spark: SparkSession, state: str, epoch: int) -> dict[int, int]:
+    """The micro-batch that wrote the newest version of each bucket; one small row per bucket."""
+    if epoch < 0:
+        return {}
+    return {r.bucket: r.epoch for r in spark.read.schema("bucket int, epoch bigint").parquet(f"{state}/heads-{epoch}").collect()}
