@@ -6,10 +6,11 @@ stores, addresses and languages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelayer.functions.columns import clock, money
+from orelayer.session import written
 from orelayer.sources.readers import table
 
 EPOCH = "1995-01-01 00:00:00"
@@ -23,6 +24,7 @@ class Source:
         self.folder = folder
         self._given: dict[str, DataFrame] = {}
         self._rows: dict[str, int] = {}
+        self._shipped: DataFrame | None = None
 
     def given(self, name: str) -> DataFrame:
         """A table of the folder; its files are listed and its schema read once per source."""
@@ -122,18 +124,21 @@ class Source:
             clock(EPOCH).alias("last_update"),
         )
 
-    def rental(self) -> DataFrame:
-        """Orders, out from the order date to the last shipment; open if nothing was shipped."""
-        shipped = (
-            self.given("lineitem")
-            .groupBy("l_orderkey")
-            .agg(
+    def shipped(self) -> DataFrame:
+        """Per order the last shipment, the copy, the staff and the sum paid: one pass over the lines, written once."""
+        if self._shipped is None:
+            lines = self.given("lineitem").groupBy("l_orderkey").agg(
                 F.max("l_shipdate").alias("return_date"),
                 F.min("l_partkey").alias("inventory_id"),
                 F.min("l_suppkey").alias("staff_id"),
+                F.sum(_paid()).cast("decimal(12,2)").alias("amount"),
             )
-        )
-        orders = self.given("orders")
+            self._shipped = written(lines, "shipped")
+        return self._shipped
+
+    def rental(self) -> DataFrame:
+        """Orders, out from the order date to the last shipment; open if nothing was shipped."""
+        orders, shipped = self.given("orders"), self.shipped()
         return orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
             F.col("o_orderkey").alias("rental_id"),
             F.col("o_orderdate").alias("rental_date"),
@@ -144,17 +149,23 @@ class Source:
             F.coalesce("return_date", "o_orderdate").alias("last_update"),
         )
 
+    def paid(self) -> DataFrame:
+        """Payments as :meth:`payment` has them, summed per rental."""
+        return self.shipped().select(F.col("l_orderkey").alias("rental_id"), "amount")
+
     def payment(self) -> DataFrame:
-        paid = money("l_extendedprice", "decimal(12,2)") * (F.lit(1) - money("l_discount", "decimal(4,2)"))
-        return self.given("lineitem").select(
-            F.col("l_orderkey").alias("rental_id"), paid.cast("decimal(12,2)").alias("amount")
-        )
+        return self.given("lineitem").select(F.col("l_orderkey").alias("rental_id"), _paid().alias("amount"))
 
     def tables(self) -> dict[str, DataFrame]:
         names = ["language", "address", "store", "film", "customer", "staff", "inventory", "rental", "payment"]
         return {name: getattr(self, name)() for name in names}
 
 
+def _paid() -> Column:
+    paid = money("l_extendedprice", "decimal(12,2)") * (F.lit(1) - money("l_discount", "decimal(4,2)"))
+    return paid.cast("decimal(12,2)")
+
+
 def accounts_before(source: Source) -> DataFrame:
     """A snapshot of customer accounts."""
     return source.given("customer").select(

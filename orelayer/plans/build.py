@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 from functools import partial
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelayer.functions.columns import stamp_batch
 from orelayer.operators import gold, quality, silver
-from orelayer.sources.sinks import LOG_SCHEMA, read_batch, write_batch
+from orelayer.sources.sinks import LOG_SCHEMA, append_log, log_entries, read_batch, write_batch
 
 BUILD_SCHEMA = "tenant string, layer string, table_name string, row_count bigint"
 
@@ -31,6 +32,35 @@ def land(
     }
 
 
+def land_logged(
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame | Callable[[], DataFrame]],
+    root: str,
+    batch_id: str,
+    load_time: datetime | str,
+    run_id: str,
+    schema: str = "staging",
+    text: bool = True,
+) -> DataFrame:
+    """Land tables one by one and append a log line for each, whatever becomes of it; returns the log of the run.
+
+    Row counts are those observed while writing. A table that cannot be read or written is logged as ``failed`` without a
+    count, and the run goes on with the next one.
+    """
+    lines = []
+    for name, source in tables.items():
+        try:
+            df = source() if callable(source) else source
+            rows = land({name: df}, root, batch_id, load_time, schema, text)[name]
+            lines.append((name, rows, "success"))
+        except (PySparkException, ValueError):
+            lines.append((name, None, "failed"))
+    summary = spark.createDataFrame(lines, "source_table string, row_count bigint, status string")
+    entries = log_entries(summary, schema, load_time, run_id).drop("status").join(summary.select("source_table", "status"), "source_table")
+    append_log(entries, f"{root}/log")
+    return spark.read.parquet(f"{root}/log").where(F.col("run_id") == run_id)
+
+
 class Warehouse:
     """The layers of one warehouse under a folder, one batch at a time."""
 
@@ -97,7 +127,7 @@ def build(warehouse: Warehouse, sources: Mapping[str, DataFrame], as_of: str) ->
     quality.require(dimension_checks(d_film, d_store, d_staff, d_date), "gold dimensions")
 
     sizes = {name: w.rows("gold", f"dim_{name}") for name in ("film", "store", "staff")}
-    facts = put("fact_rental", gold.fact_rental(rentals, film, d_film, d_store, d_staff, d_date, now, sizes))
+    facts = put("fact_rental", gold.fact_rental(rentals, d_film, d_store, d_staff, d_date, now, sizes))
     quality.require(fact_checks(facts, d_film), "gold facts")
     return w
 
@@ -153,16 +183,16 @@ def fact_checks(facts: DataFrame, d_film: DataFrame) -> DataFrame:
 def land_tenants(
     spark: SparkSession,
     specs: Sequence[Mapping],
-    sources: Mapping[str, DataFrame],
+    sources: Mapping[str, Mapping[str, DataFrame]],
     root: str,
     batch_id: str,
     now: datetime | str,
 ) -> DataFrame:
-    """Land the tables each spec lists into its own warehouse; returns rows written per tenant and table."""
+    """Land the tables each spec lists, from the tenant's own source, into its own warehouse; returns rows written."""
     lines = []
     for spec in specs:
         name = spec["warehouse"]["name"]
-        wanted = {job["table"]: sources[job["table"]] for job in spec["warehouse"].get("bronze_jobs", [])}
+        wanted = {job["table"]: sources[name][job["table"]] for job in spec["warehouse"].get("bronze_jobs", [])}
         warehouse = Warehouse(spark, f"{root}/{name}", batch_id, now)
         warehouse.land(wanted)
         lines += [(name, *line) for line in warehouse.written]
@@ -172,16 +202,16 @@ def land_tenants(
 def build_tenants(
     spark: SparkSession,
     specs: Sequence[Mapping],
-    sources: Mapping[str, DataFrame],
+    sources: Mapping[str, Mapping[str, DataFrame]],
     root: str,
     batch_id: str,
     now: datetime | str,
     as_of: str,
 ) -> DataFrame:
-    """All layers per tenant. A tenant's models need every source table, whatever its spec lands first."""
+    """All layers per tenant, from the tenant's own source, which must have every table the models need."""
     lines = []
     for spec in specs:
         name = spec["warehouse"]["name"]
-        warehouse = build(Warehouse(spark, f"{root}/{name}", batch_id, now), sources, as_of)
+        warehouse = build(Warehouse(spark, f"{root}/{name}", batch_id, now), sources[name], as_of)
         lines += [(name, *line) for line in warehouse.written]
     return spark.createDataFrame(lines, BUILD_SCHEMA)

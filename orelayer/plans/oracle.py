@@ -309,9 +309,11 @@ ORACLE["facts_without_film"] = rental(
 )
 ORACLE["mean_by_category"] = """SELECT event_type,
   CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value) AS mean_value FROM events GROUP BY 1"""
-ORACLE["sums_by_category"] = """SELECT l_returnflag, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS l_quantity,
-  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS l_extendedprice,
-  CAST(sum(l_linenumber) AS DECIMAL(28,2)) AS l_linenumber FROM lineitem GROUP BY 1"""
+AMOUNTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_ROWS = f"SELECT * REPLACE ({', '.join(f'{dec(c)} AS {c}' for c in AMOUNTS)}) FROM lineitem"
+ORACLE["sums_by_category"] = f"""SELECT l_returnflag, {', '.join(
+    f"CAST(sum({c}) AS DECIMAL(28,2)) AS {c}" for c in ['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', *AMOUNTS]
+)} FROM ({LINE_ROWS}) GROUP BY 1"""
 ORACLE["customers_of_orders"] = f"""SELECT o_custkey AS custkey, o_orderkey, {dec('o_totalprice')} AS total, c_name, c_mktsegment
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
 
@@ -344,31 +346,29 @@ ORACLE["document_hash"] = f"""SELECT doc_id, md5({joined('doc_id', 'text', 'lang
   FROM documents"""
 ORACLE["surrogate_keys"] = f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {key('l_orderkey')} AS order_key,
   {uuid(joined('l_orderkey', 'l_linenumber', 'l_partkey'))} AS line_key FROM lineitem"""
-ORACLE["filtered_scan"] = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {dec('l_extendedprice')} AS l_extendedprice,
-  l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_suppkey = 1
-  ORDER BY 1, 2, 3, 4, 5, 6 LIMIT 100"""
-ORACLE["equality_filter"] = "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F'"
+ORACLE["filtered_scan"] = f"""SELECT * FROM ({LINE_ROWS}) WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_suppkey = 1
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100"""
+ORACLE["equality_filter"] = f"SELECT * FROM ({ORDERS}) WHERE o_orderstatus = 'F'"
+ORACLE["top_rows"] = f"SELECT * FROM ({ORDERS}) ORDER BY o_orderkey LIMIT 1000"
 ORACLE["next_marks"] = """SELECT 'orders' AS source_table, max(o_orderdate) AS mark FROM orders UNION ALL
   SELECT 'lineitem', max(l_shipdate) FROM lineitem UNION ALL SELECT 'events', max(ts) FROM events"""
 STARS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS source_table, count(*) AS row_count FROM {t}" for t in STARS)
 ORACLE["scan_summaries"] = f"SELECT *, least(row_count, 1000) AS sample_rows_read FROM ({COUNTS})"
-ORACLE["ingestion_log"] = f"""SELECT source_table, 'bronze' AS target_schema, row_count, {NOW} AS ingestion_time,
-  'batch-1' AS run_id, 'success' AS status FROM ({COUNTS})"""
+ORACLE["ingestion_log"] = f"""SELECT source_table, 'staging' AS target_schema, row_count, {NOW} AS ingestion_time,
+  'run-1' AS run_id, CASE WHEN row_count IS NULL THEN 'failed' ELSE 'success' END AS status
+  FROM ({COUNTS} UNION ALL SELECT 'missing_table', NULL)"""
 ORACLE["csv_round_trip"] = f"SELECT * REPLACE ({dec('s_acctbal')} AS s_acctbal) FROM supplier"
-ORACLE["partitioned_snapshot"] = """SELECT o_orderkey, o_orderdate, CAST(year(o_orderdate) AS INTEGER) AS year,
-  CAST(month(o_orderdate) AS INTEGER) AS month FROM orders"""
+ORACLE["partitioned_snapshot"] = f"""SELECT *, CAST(year(o_orderdate) AS INTEGER) AS year,
+  CAST(month(o_orderdate) AS INTEGER) AS month FROM ({ORDERS})"""
 
-TENANT_ROWS = {
-    "north_wh": ["film", "store", "client", "rental", "payment"],
-    "south_wh": ["film", "language", "staff", "inventory", "rental"],
-}
+LANDED = ["language", "address", "store", "film", "customer", "staff", "inventory", "rental", "payment"]
 ORACLE["tenant_run"] = rental(
     " UNION ALL ".join(
-        f"SELECT '{tenant}' AS tenant, 'staging' AS layer, 'br_{'customer' if t == 'client' else t}' AS table_name, "
-        f"count(*) AS row_count FROM {t}"
-        for tenant, tables in TENANT_ROWS.items()
-        for t in tables
+        f"SELECT '{tenant}' AS tenant, 'staging' AS layer, 'br_{t}' AS table_name, count(*) AS row_count "
+        f"FROM {'client' if t == 'customer' else t} {f'WHERE rental_id % 2 = {rest}' if t in ('rental', 'payment') else ''}"
+        for rest, tenant in enumerate(["even_rentals", "odd_rentals"])
+        for t in LANDED
     )
 )
 BUILT = {
@@ -402,7 +402,8 @@ ORACLE["silver_cast"] = """SELECT p_partkey, left(p_name, 8) AS p_name, rpad(lef
   TRY_CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DECIMAL(4,2)) AS p_retailprice FROM part"""
 ORACLE["cast_rejects"] = """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_type,
   CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS p_retailprice,
-  concat_ws(',', 'cast:p_type', CASE WHEN p_retailprice >= 100 THEN 'cast:p_retailprice' END) AS failed_checks FROM part"""
+  concat_ws(',', CASE WHEN length(p_name) > 8 THEN 'cut:p_name' END, CASE WHEN length(p_brand) > 12 THEN 'cut:p_brand' END,
+    'cast:p_type', CASE WHEN p_retailprice >= 100 THEN 'cast:p_retailprice' END) AS failed_checks FROM part"""
 PARTIES = f"""SELECT upper(c_name) AS name, lower(c_name) || '@sales.example.com' AS email, c_nationkey AS nation_id,
     {dec('c_acctbal')} AS balance, c_mktsegment AS segment, 'sales' AS source_system FROM customer
   UNION ALL SELECT upper(s_name), lower(s_name) || '@buying.example.com', s_nationkey, {dec('s_acctbal')}, NULL, 'purchasing'
@@ -421,8 +422,10 @@ SUPPLIERS = f"""SELECT s_suppkey, s_name,
 ORACLE["soft_delete"] = SUPPLIERS
 ORACLE["active_rows"] = f"SELECT * FROM ({SUPPLIERS}) WHERE inactivated_date IS NULL"
 ORACLE["inactive_rows"] = f"SELECT * FROM ({SUPPLIERS}) WHERE inactivated_date IS NOT NULL"
-ORACLE["table_kinds"] = f"""SELECT o_orderkey, o_orderdate, {NOW} AS created_at,
-  TIMESTAMP '2025-02-01 00:00:00' AS updated_at, o_orderdate AS effective_time, {NOW} AS systime FROM orders"""
+ORACLE["table_kinds"] = f"""SELECT *, {NOW} AS created_at,
+  TIMESTAMP '2025-02-01 00:00:00' AS updated_at, o_orderdate AS effective_time, {NOW} AS systime FROM ({ORDERS})"""
+ORACLE["mapped_load"] = f"""SELECT upper(c_name) AS name, lower(c_name) || '@sales.example.com' AS email,
+  c_nationkey AS nation_id, {dec('c_acctbal')} AS balance, c_mktsegment AS segment FROM customer"""
 
 # ---------------------------------------------------------------- quality
 
@@ -491,6 +494,7 @@ ORACLE["model_checks"] = rental(
         ]
     )
 )
+ORACLE["landed_match"] = union([line(t, "row_count_match", "*", "SELECT 0") for t in STARS])
 EXPECTED = "(VALUES ('region', 5), ('nation', 24), ('orders', NULL), ('lineitem', NULL), ('missing_table', NULL))"
 ORACLE["row_count_check"] = f"""SELECT table_name, coalesce(row_count, 0) AS row_count, CAST(expected AS BIGINT) AS expected,
   CASE WHEN coalesce(row_count, 0) = 0 THEN 'FAIL' WHEN expected IS NULL OR row_count = expected THEN 'PASS' ELSE 'WARN' END AS status
@@ -514,6 +518,8 @@ ORACLE["contract_check"] = union(
         line("part", "missing_column", "p_container", "SELECT 1"),
         line("part", "extra_column", "p_comment", "SELECT 1"),
         line("part", "cast", "p_partkey", "SELECT 0"),
+        line("part", "cut", "p_name", "SELECT count(*) FROM part WHERE length(p_name) > 8"),
+        line("part", "cut", "p_brand", "SELECT count(*) FROM part WHERE length(p_brand) > 12"),
         line("part", "cast", "p_type", "SELECT count(*) FROM part"),
         line("part", "cast", "p_size", "SELECT count(*) FROM part WHERE p_size > 32767"),
         line("part", "cast", "p_retailprice", "SELECT count(*) FROM part WHERE CAST(p_retailprice AS DECIMAL(18,2)) >= 1000"),
@@ -522,15 +528,16 @@ ORACLE["contract_check"] = union(
 ORACLE["quality_score"] = """SELECT o_orderkey, (CAST(o_custkey IS NOT NULL AS INTEGER) + CAST(o_orderstatus IN ('F', 'O') AS INTEGER)
   + CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) + CAST(o_totalprice > 100000 AS INTEGER)) / CAST(4 AS DOUBLE)
   AS sl_data_quality_score FROM orders"""
-ORACLE["profile"] = union(
+PROFILE = union(
     [
         f"""SELECT 'orders' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
         count(DISTINCT {c}) AS distinct_count, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value
         FROM ({ORDERS})"""
         for c in ORDER_COLUMNS
-        if c != "o_orderdate"
     ]
 )
+ORACLE["profile"] = PROFILE
+ORACLE["profile_one_pass"] = f"SELECT * EXCLUDE (distinct_count) FROM ({PROFILE})"
 ORACLE["history_pair_check"] = union(
     [
         line("accounts", "tracked_column_missing", "segment", "SELECT 1"),
@@ -603,6 +610,16 @@ ORACLE["rebuild_current"] = """SELECT user_id, event_type FROM events QUALIFY ro
   PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 ORACLE["reconcile"] = "SELECT user_id, event_type AS operation_type FROM events WHERE false"
 
+ORACLE["reconcile_spoiled"] = f"""WITH newest AS ({ORACLE['rebuild_current']})
+  SELECT user_id, 'DELETE' AS operation_type FROM newest WHERE user_id % 5 = 0
+  UNION ALL SELECT user_id, 'UPDATE' FROM newest WHERE user_id % 5 = 1
+  UNION ALL SELECT -user_id - 1, 'INSERT' FROM newest WHERE user_id % 5 = 2"""
+ORACLE["record_hash_arrays"] = """SELECT p_partkey, CAST(4 AS BIGINT) AS forms,
+  CAST(CASE WHEN p_type LIKE '% %' THEN 4 ELSE 3 END AS BIGINT) AS hashes FROM part"""
+ORACLE["record_hash_prefixed"] = batch(
+    "SELECT p_partkey, p_brand AS br_code, p_type AS bronze_kind FROM part", ["p_partkey", "br_code", "bronze_kind"], "parts", "batch-1"
+)
+
 # ---------------------------------------------------------------- streams
 
 EVENTS = f"SELECT * REPLACE ({dec('value')} AS value) FROM events"
@@ -611,6 +628,14 @@ ORACLE["stream_landing"] = batch(EVENTS, EVENT_COLUMNS, "events", "stream-0")
 ORACLE["stream_landing_once"] = ORACLE["stream_landing"]
 ORACLE["stream_without_repeats"] = f"SELECT *, md5({joined(*EVENT_COLUMNS)}) AS br_record_hash FROM ({EVENTS})"
 
+RECENT = "ts >= TIMESTAMP '2024-01-20 00:00:00'"
+ORACLE["stream_late_rows"] = f"""SELECT event_id, ts, CASE WHEN {RECENT} THEN 'stream-0' ELSE 'stream-1' END AS br_batch_id,
+  NOT ({RECENT}) AND ts < (SELECT max(ts) FROM events WHERE {RECENT}) - INTERVAL 7 DAY AS late FROM events"""
+ORACLE["stream_landing_two_sources"] = """SELECT event_id, name || '-0' AS br_batch_id FROM events, (VALUES ('first'), ('second')) n(name)"""
+ORACLE["stream_history_null_times"] = f"""WITH events AS (SELECT * REPLACE (CASE WHEN event_id % 3 <> 0 THEN ts END AS ts) FROM events),
+  {HISTORY.replace('ORDER BY ts, event_id', 'ORDER BY ts NULLS FIRST, event_id')}
+  SELECT user_id, event_type, {HISTORY_ID} AS history_id, effective_time, systime, operation_type FROM history"""
+
 # ---------------------------------------------------------------- generated rows
 
 

@@ -26,11 +26,11 @@ TODAY = "2000-01-01"
 MARK = "2000-06-30 00:00:00"
 BATCH = "batch-1"
 STARS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+LINE_AMOUNTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 EVENT_KEYS, EVENT_STATE, EVENT_ORDER = ["user_id"], ["event_type"], ["ts", "event_id"]
-TENANTS = [
-    {"warehouse": {"name": "north_wh", "bronze_jobs": [{"table": t} for t in ("film", "store", "customer", "rental", "payment")]}},
-    {"warehouse": {"name": "south_wh", "bronze_jobs": [{"table": t} for t in ("film", "language", "staff", "inventory", "rental")]}},
-]
+# Two tenants that share the catalogue and have the rentals of odd and of even numbers; each lands all that models need.
+RENTAL_TABLES = ["language", "address", "store", "film", "customer", "staff", "inventory", "rental", "payment"]
+TENANTS = [{"warehouse": {"name": n, "bronze_jobs": [{"table": t} for t in RENTAL_TABLES]}} for n in ("even_rentals", "odd_rentals")]
 
 
 def query(fn: Callable[[Source], DataFrame]) -> Query:
@@ -102,7 +102,7 @@ def enriched(source: Source) -> DataFrame:
     file footers, bound the inventory; beyond that bound the rentals are stored before they are looked up."""
     copies = source.rows("part")
     rental = stored_if(copies > skew.SMALL, source.rental(), "rental")
-    return silver.sl_rental_enriched(rental, source.inventory(), source.payment(), NOW, inventory_rows=copies)
+    return silver.sl_rental_enriched(rental, source.inventory(), source.paid(), NOW, inventory_rows=copies)
 
 
 @query
@@ -179,14 +179,14 @@ def facts(source: Source) -> DataFrame:
     store = silver.sl_store(source.store(), NOW)
     address = silver.sl_address(source.address(), NOW)
     sizes = {"film": source.rows("part"), "store": source.rows("nation"), "staff": source.rows("supplier")}
-    rentals = stored_if(max(sizes.values()) > skew.SMALL, enriched(source), "rentals")
+    # Stored: the calendar takes its first and last day from the rentals before the rentals look up their days.
+    rentals = written(enriched(source), "rentals")
     return gold.fact_rental(
         rentals,
-        film,
         gold.dim_film(film, silver.sl_language(source.language(), NOW)),
         gold.dim_store(store, address),
         gold.dim_staff(silver.sl_staff(source.staff(), NOW), store, address, NOW),
-        gold.calendar(order_days(source), TODAY),
+        gold.calendar(gold.date_bounds(rentals, "rental_date", "return_date"), TODAY),
         NOW,
         sizes,
     )
@@ -249,12 +249,7 @@ def mean_by_category(source):
 
 @query
 def sums_by_category(source):
-    lines = source.given("lineitem").select(
-        "l_returnflag",
-        C.money("l_quantity").alias("l_quantity"),
-        C.money("l_extendedprice").alias("l_extendedprice"),
-        F.col("l_linenumber"),
-    )
+    lines = money_columns(source.given("lineitem"), *LINE_AMOUNTS)
     sums = frames.sums_by(lines, "l_returnflag")
     return sums.select("l_returnflag", *[F.col(c).cast(C.TOTAL).alias(c) for c in sums.columns[1:]])
 
@@ -306,17 +301,22 @@ def surrogate_keys(source):
 
 @query
 def filtered_scan(source):
-    lines = money_columns(source.given("lineitem"), "l_extendedprice").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
-    )
-    ordered = lines.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    lines = money_columns(source.given("lineitem"), *LINE_AMOUNTS)
+    ordered = lines.orderBy("l_orderkey", "l_linenumber", *[c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")])
     return readers.extract(ordered, "l_shipdate >= timestamp_ntz'2000-01-01' AND l_suppkey = 1", 100)
 
 
 @query
 def equality_filter(source):
-    orders = source.given("orders")
-    return readers.extract(orders, F.col("o_orderstatus") == "F").select("o_orderkey", "o_orderdate")
+    orders = money_columns(source.given("orders"), "o_totalprice")
+    return readers.extract(orders, F.col("o_orderstatus") == "F")
+
+
+@query
+def top_rows(source):
+    """The first 1000 orders by key."""
+    orders = money_columns(source.given("orders"), "o_totalprice")
+    return readers.extract(orders.orderBy("o_orderkey"), limit=1000)
 
 
 @query
@@ -344,8 +344,28 @@ def scan_summaries(source):
 
 @query
 def ingestion_log(source):
-    summary = reduce(DataFrame.unionByName, [readers.scan_summary(source.given(t), t) for t in STARS])
-    return sinks.log_entries(summary, "bronze", NOW, BATCH)
+    """All tables are landed, one of which does not exist; the log of the run is read back."""
+    root = shared_dir(source.spark, "landing")
+    tables = {t: source.given(t) for t in STARS} | {"missing_table": lambda: source.given("missing_table")}
+    return build.land_logged(source.spark, tables, root, BATCH, NOW, "run-1")
+
+
+@query
+def landed_match(source):
+    """Every table is landed, and its landed rows are held against those of its source."""
+    root = shared_dir(source.spark, "landing")
+    tables = {t: source.given(t) for t in STARS}
+    build.land(tables, root, BATCH, NOW)
+    landed_rows = {t: sinks.read_batch(source.spark, root, "staging", f"br_{t}", BATCH) for t in STARS}
+    return quality.report(*[quality.check_match(tables[t], landed_rows[t], t) for t in STARS])
+
+
+@query
+def mapped_load(source):
+    """Customers are scanned, mapped to the party schema, written as a table of that layer and read back."""
+    root = shared_dir(source.spark, "mapped")
+    sinks.write_batch(parties(source)["sales"], root, "silver", "party", BATCH)
+    return sinks.read_batch(source.spark, root, "silver", "party", BATCH)
 
 
 @query
@@ -377,8 +397,8 @@ def csv_round_trip(source):
 @query
 def partitioned_snapshot(source):
     root = shared_dir(source.spark, "partitions")
-    orders = source.given("orders").select(
-        "o_orderkey", "o_orderdate", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")
+    orders = money_columns(source.given("orders"), "o_totalprice").withColumns(
+        {"year": F.year("o_orderdate"), "month": F.month("o_orderdate")}
     )
     paths = sinks.write_snapshot(
         orders, root, "shop", "orders", datetime(2025, 1, 1), ["parquet"], ["year", "month"]
@@ -386,10 +406,19 @@ def partitioned_snapshot(source):
     return source.spark.read.parquet(paths["parquet"]).select(*orders.columns)
 
 
+def tenant_sources(source: Source) -> dict[str, dict[str, DataFrame]]:
+    tables = source.tables()
+    own = lambda t, rest: tables[t].where(F.col("rental_id") % 2 == rest)
+    return {
+        spec["warehouse"]["name"]: {**tables, "rental": own("rental", rest), "payment": own("payment", rest)}
+        for rest, spec in enumerate(TENANTS)
+    }
+
+
 @query
 def tenant_run(source):
     root = shared_dir(source.spark, "tenants")
-    return build.land_tenants(source.spark, TENANTS, source.tables(), root, BATCH, NOW)
+    return build.land_tenants(source.spark, TENANTS, tenant_sources(source), root, BATCH, NOW)
 
 
 @query
@@ -516,7 +545,7 @@ def inactive_rows(source):
 @query
 def table_kinds(source):
     """Clocks of transactional rows after a change, and of temporal rows with their own effective time."""
-    orders = source.given("orders").select("o_orderkey", "o_orderdate")
+    orders = money_columns(source.given("orders"), "o_totalprice")
     changed = C.touch_transactional(C.stamp_transactional(orders, NOW), "2025-02-01 00:00:00")
     return C.stamp_temporal(changed.drop("systime"), NOW, F.col("o_orderdate"))
 
@@ -634,8 +663,13 @@ def quality_score(source):
 
 @query
 def profile(source):
-    orders = money_columns(source.given("orders"), "o_totalprice").drop("o_orderdate")
-    return quality.profile(orders, "orders", exact=True)
+    return quality.profile(money_columns(source.given("orders"), "o_totalprice"), "orders", exact=True)
+
+
+@query
+def profile_one_pass(source):
+    """The profile of one pass, without its estimate of distinct values."""
+    return quality.profile(money_columns(source.given("orders"), "o_totalprice"), "orders").drop("distinct_count")
 
 
 @query
@@ -762,9 +796,75 @@ def reconcile(source):
     return history.reconcile(event_history(source), newest.select("user_id", "event_type"), EVENT_KEYS)
 
 
+@query
+def reconcile_spoiled(source):
+    """As reconcile, with users missing, users changed and users made up in the newest state."""
+    newest = skew.latest_per_key(source.given("events"), EVENT_KEYS, F.desc("ts"), F.desc("event_id"))
+    state = F.when(F.col("user_id") % 5 == 1, F.lit("spoiled")).otherwise(F.col("event_type")).alias("event_type")
+    kept = newest.where(F.col("user_id") % 5 != 0).select("user_id", state)
+    made_up = newest.where(F.col("user_id") % 5 == 2).select((-F.col("user_id") - 1).alias("user_id"), "event_type")
+    return history.reconcile(event_history(source), kept.unionByName(made_up), EVENT_KEYS)
+
+
 # ---------------------------------------------------------------- streams
 
 
+@query
+def record_hash_arrays(source):
+    """Hashes of lists that print alike: words split at blanks, joined with commas into one, and with nulls."""
+    words = F.split("p_type", " ")
+    one = F.array(F.array_join(words, ", "))
+    rows = source.given("part").select("p_partkey", words.alias("w"), one.alias("o"))
+    lists = rows.select("p_partkey", F.posexplode(F.array("w", "o", F.array(F.lit(None).cast("string")), F.array(F.lit("null")))).alias("form", "words"))
+    hashed = lists.select("p_partkey", "form", C.record_hash(["p_partkey", "words"], ["p_partkey"], ["words"]).alias("h"))
+    return hashed.groupBy("p_partkey").agg(F.count("form").alias("forms"), F.count_distinct("h").alias("hashes"))
+
+
+@query
+def record_hash_prefixed(source):
+    """Source columns whose names start like audit columns are hashed like all others."""
+    parts = source.given("part").select("p_partkey", F.col("p_brand").alias("br_code"), F.col("p_type").alias("bronze_kind"))
+    return C.stamp_batch(parts, "parts", BATCH, NOW)
+
+
+@query
+def stream_late_rows(source):
+    """Recent events arrive first; of the older ones those more than a week behind land beside the table."""
+    root = shared_dir(source.spark, "late")
+    events = money_columns(source.given("events"), "value")
+    for recent in (True, False):
+        part = events.where((F.col("ts") >= C.clock("2024-01-20 00:00:00")) == recent)
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        arriving = landing.read_arriving(source.spark, f"{root}/in", events.schema)
+        landing.land_arriving(
+            arriving, root, "events", f"{root}/checkpoint", NOW, name="stream", text=False, late=("ts", "7 days")
+        ).awaitTermination()
+    read = source.spark.read.parquet
+    kept = read(f"{root}/staging/br_events").withColumn("late", F.lit(False))
+    return kept.unionByName(read(f"{root}/staging/late_events").withColumn("late", F.lit(True))).select("event_id", "ts", "br_batch_id", "late")
+
+
+@query
+def stream_landing_two_sources(source):
+    """Two streams with a checkpoint each land into one table; neither overwrites the other."""
+    root = shared_dir(source.spark, "landing")
+    for name in ("first", "second"):
+        stream = money_columns(arriving_events(source), "value")
+        landing.land_arriving(stream, root, "events", f"{root}/checkpoint-{name}", NOW, name=name, text=False).awaitTermination()
+    return source.spark.read.parquet(f"{root}/staging/br_events").select("event_id", "br_batch_id")
+
+
+@query
+def stream_history_null_times(source):
+    """Every third event has no time: such rows come first and stay in the history."""
+    root = shared_dir(source.spark, "changes")
+    untimed = arriving_events(source).withColumn("ts", F.when(F.col("event_id") % 3 != 0, F.col("ts")))
+    changes.capture_batches(
+        untimed, EVENT_KEYS, EVENT_STATE, EVENT_ORDER, root, "users", f"{root}/checkpoint", NOW, stream="stream"
+    ).awaitTermination()
+    return source.spark.read.parquet(f"{root}/history/users").drop("batch_id")
+
+
 def arriving_events(source: Source) -> DataFrame:
     schema = source.given("events").schema
     return landing.read_arriving(source.spark, source.folder, schema, only="events.parquet", files_per_batch=100)
@@ -774,7 +874,7 @@ def arriving_events(source: Source) -> DataFrame:
 def stream_landing(source):
     root = shared_dir(source.spark, "landing")
     stream = money_columns(arriving_events(source), "value")
-    landing.land_arriving(stream, root, "events", f"{root}/checkpoint", NOW).awaitTermination()
+    landing.land_arriving(stream, root, "events", f"{root}/checkpoint", NOW, name="stream").awaitTermination()
     return source.spark.read.parquet(f"{root}/staging/br_events").drop("batch_id")
 
 
@@ -785,7 +885,7 @@ def stream_landing_once(source):
     doubled = money_columns(arriving_events(source), "value").unionByName(
         money_columns(arriving_events(source), "value")
     )
-    landing.land_arriving(doubled, root, "events", f"{root}/checkpoint", NOW, once=True).awaitTermination()
+    landing.land_arriving(doubled, root, "events", f"{root}/checkpoint", NOW, name="stream", once=True).awaitTermination()
     return source.spark.read.parquet(f"{root}/staging/br_events").drop("batch_id")
 
 
@@ -813,7 +913,7 @@ def stream_history(source):
 def stream_history_batches(source):
     root = shared_dir(source.spark, "changes")
     changes.capture_batches(
-        arriving_events(source), EVENT_KEYS, EVENT_STATE, EVENT_ORDER, root, "users", f"{root}/checkpoint", NOW
+        arriving_events(source), EVENT_KEYS, EVENT_STATE, EVENT_ORDER, root, "users", f"{root}/checkpoint", NOW, stream="stream"
     ).awaitTermination()
     return source.spark.read.parquet(f"{root}/history/users").drop("batch_id")
 

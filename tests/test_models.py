@@ -171,7 +171,7 @@ def test_fact(spark, source, rentals, rows):
     calendar = gold.calendar(gold.date_bounds(rentals, "rental_date", "return_date"), "2025-01-01")
     d_film = gold.dim_film(film, silver.sl_language(source["language"], NOW))
     fact = gold.fact_rental(
-        rentals, film, d_film, gold.dim_store(store, address),
+        rentals, d_film, gold.dim_store(store, address),
         gold.dim_staff(silver.sl_staff(source["staff"], NOW), store, address, NOW), calendar, NOW, rows,
     )
     got = {r.rental_id: r for r in fact.collect()}
@@ -220,5 +220,6 @@ def test_build_and_log(spark, source, tmp_path):
 def test_build_tenants(spark, source, tmp_path):
     kept = {**source, "rental": source["rental"].where("rental_id <> '3'")}
     specs = [{"warehouse": {"name": n}} for n in ("north", "south")]
-    rows = build.build_tenants(spark, specs, kept, str(tmp_path), "b1", NOW, "2025-01-01").collect()
-    assert {(r.tenant, r.row_count) for r in rows if r.table_name == "fact_rental"} == {("north", 2), ("south", 2)}
+    sources = {"north": kept, "south": {**kept, "rental": kept["rental"].where("rental_id = '1'")}}
+    rows = build.build_tenants(spark, specs, sources, str(tmp_path), "b1", NOW, "2025-01-01").collect()
+    assert {(r.tenant, r.row_count) for r in rows if r.table_name == "fact_rental"} == {("north", 2), ("south", 1)}
