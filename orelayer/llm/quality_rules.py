@@ -44,7 +44,7 @@ class Rules:
     min_group: int = 100
     cutoff: float = CHI_9999
     # The least standard deviation of each statistic, in its own unit.
-    floors: tuple[float, ...] = (0.8, 0.4, 0.8, 0.8, 0.06)
+    floors: tuple[float, ...] = (0.8, 0.4, 0.8, 1.2, 0.08)
 
 
 def _covered(w: str) -> str:
