@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelayer.llm.scratch import Scratch
 from orelayer.llm.text import SPACE_CHARS, fold_case
 from orelayer.session import written
 
@@ -85,10 +86,14 @@ def keep_bitmaps(
 ) -> DataFrame:
     """Bitmaps of the rows that lose a line, by ``doc`` and ``row``; rows that keep all lines have none.
 
-    The line hashes are written once to the shared folder: they are read twice, and a lost executor costs a re-read.
+    The line hashes are written to the shared folder, as they are read twice and a lost executor then costs a re-read;
+    they go when the bitmaps are written.
     """
-    hashes = written(line_hashes(docs, ident, text, min_chars), "line-hashes")
-    return bitmaps(dropped_lines(hashes, min_docs))
+    scratch = Scratch(docs.sparkSession, "lines")
+    hashes = scratch.write(line_hashes(docs, ident, text, min_chars), "line-hashes")
+    found = written(bitmaps(dropped_lines(hashes, min_docs)), "keep-bitmaps")
+    scratch.drop()
+    return found
 
 
 def kept_text(text: Column, keep: Column) -> Column:
