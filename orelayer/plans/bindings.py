@@ -25,6 +25,7 @@ class Source:
         self._given: dict[str, DataFrame] = {}
         self._rows: dict[str, int] = {}
         self._shipped: DataFrame | None = None
+        self._inventory: DataFrame | None = None
 
     def given(self, name: str) -> DataFrame:
         """A table of the folder; its files are listed and its schema read once per source."""
@@ -114,15 +115,19 @@ class Source:
         )
 
     def inventory(self) -> DataFrame:
-        """One copy per part that was ever shipped, kept in the store of its first supplier."""
+        """One copy per part that was ever shipped, kept in the store of its first supplier; written once."""
+        if self._inventory is not None:
+            return self._inventory
         stocked = self.given("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("_supplier"))
         supplier = self.given("supplier")
-        return stocked.join(supplier, F.col("_supplier") == F.col("s_suppkey"), "left").select(
+        copies = stocked.join(supplier, F.col("_supplier") == F.col("s_suppkey"), "left").select(
             F.col("l_partkey").alias("inventory_id"),
             F.col("l_partkey").alias("film_id"),
             F.col("s_nationkey").alias("store_id"),
             clock(EPOCH).alias("last_update"),
         )
+        self._inventory = written(copies, "inventory")
+        return self._inventory
 
     def shipped(self) -> DataFrame:
         """Per order the last shipment, the copy, the staff and the sum paid: one pass over the lines, written once."""

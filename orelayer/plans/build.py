@@ -132,8 +132,10 @@ def build(warehouse: Warehouse, sources: Mapping[str, DataFrame], as_of: str) ->
     return w
 
 
-def _keyed(df: DataFrame, table: str, *keys: str) -> list[DataFrame]:
-    return [quality.check_rows(df, table, quality.not_null(*keys)), *[quality.check_unique(df, table, k) for k in keys]]
+def _keyed(df: DataFrame, table: str, *keys: str, filled: Sequence[str] = ()) -> list[DataFrame]:
+    """Row checks in one pass over the table, then a count per key."""
+    row_checks = quality.not_null(*keys, *filled)
+    return [quality.check_rows(df, table, row_checks), *[quality.check_unique(df, table, k) for k in keys]]
 
 
 def silver_checks(
@@ -152,8 +154,7 @@ def silver_checks(
         *_keyed(address, "sl_address", "address_id"),
         *_keyed(store, "sl_store", "store_id"),
         *_keyed(film, "sl_film", "film_id"),
-        *_keyed(customer, "sl_customer", "customer_id"),
-        quality.check_rows(customer, "sl_customer", quality.not_null("email")),
+        *_keyed(customer, "sl_customer", "customer_id", filled=["email"]),
         *_keyed(staff, "sl_staff", "staff_id"),
         *_keyed(inventory, "sl_inventory", "inventory_id"),
         *_keyed(rentals, "sl_rental_enriched", "rental_id"),

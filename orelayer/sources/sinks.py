@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orelayer.functions.columns import clock
+from orelayer.session import written
 
 # The columns of the ingestion log.
 LOG_SCHEMA = (
@@ -124,8 +125,10 @@ def replace_table(
     """
     if on_empty not in ("replace", "keep"):
         raise ValueError("on_empty is 'replace' or 'keep'")
-    if on_empty == "keep" and df.isEmpty():
-        return 0
+    if on_empty == "keep":
+        df = written(df, "staged")  # the plan runs once: whether there are rows is read from what it wrote
+        if df.isEmpty():
+            return 0
 
     def write(rows: DataFrame) -> None:
         if bucket_by:
@@ -179,8 +182,10 @@ def write_jdbc(
     **options,
 ) -> int:
     """Write a database table over at most ``connections`` connections; returns the row count."""
-    if on_empty == "keep" and df.isEmpty():
-        return 0
+    if on_empty == "keep":
+        df = written(df, "staged")
+        if df.isEmpty():
+            return 0
     settings = jdbc_write_options(url, table, replace=replace, **options)
     rows = df if connections is None else df.repartition(connections)
     mode = "overwrite" if replace else "append"
