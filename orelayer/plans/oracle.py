@@ -371,6 +371,9 @@ ORACLE["tenant_run"] = rental(
         for t in LANDED
     )
 )
+ORACLE["tenant_build"] = rental(
+    "SELECT *, CASE WHEN rental_id % 2 = 0 THEN 'even_rentals' ELSE 'odd_rentals' END AS tenant FROM fact_rental"
+)
 BUILT = {
     "staging": {
         "br_language": "language", "br_address": "address", "br_store": "store", "br_film": "film",
