@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orelayer.llm.scratch import Scratch
 from orelayer.session import written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Every larger neighbour of a node is tied to the least one of the node and its neighbours."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy("a").agg(F.min("b").alias("least")), "least-neighbours")
+    least = scratch.write(both.groupBy("a").agg(F.min("b").alias("least")), "least-neighbours")
     return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them; links run from the larger node to the smaller."""
-    least = written(links.groupBy("a").agg(F.min("b").alias("least")), "least-neighbours")
+    least = scratch.write(links.groupBy("a").agg(F.min("b").alias("least")), "least-neighbours")
     moved = links.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
@@ -39,5 +40,9 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         if not now[0]:
             break
-        links = written(_small_star(written(_large_star(links), "stars")), "stars")
+        # What a round writes goes when its result is written.
+        scratch = Scratch(links.sparkSession, "stars")
+        large = scratch.write(_large_star(links, scratch), "large-star")
+        links = written(_small_star(large, scratch), "links")
+        scratch.drop()
     return links.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -305,7 +305,7 @@ def near_copies(seed, families=3, size=25):
 def test_links_equal_all_pairs(spark, docs, seed):
     rows = near_copies(seed) if seed == 1 else [*near_copies(seed, 2, 12), *[(5000 + r[0] if r[0] is not None else None, *r[1:]) for r in docs]]
     # Few sampled documents, or a low bar for what is common, change the order of shingles but nothing else.
-    join = jaccard.Join(sample=50, common_share=0.01) if seed == 1 else jaccard.Join()
+    join = jaccard.Join(sample=50, common_least=2, block=4, large=6) if seed == 1 else jaccard.Join()
     got = jaccard.link_documents(frame(spark, rows), join)
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == plain_components(rows)
 
