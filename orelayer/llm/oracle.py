@@ -27,5 +27,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS g FROM words),
+shingles AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT doc_id AS node, doc_id AS label FROM documents
+  UNION SELECT l.b, r.label FROM reached r JOIN links l ON l.a = r.node)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT node AS doc_id, min(label) AS component_id FROM reached GROUP BY node) USING (doc_id)
 """,
 }
