@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK = 1 << 20
 ODD = 0x9E3779B97F4A7C15
@@ -14,6 +15,13 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]")
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Record batches of few rows: what a task holds of texts at a time follows these, not the size of Spark's batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -61,9 +61,9 @@ def common_shingles(body: DataFrame, join: Join) -> np.ndarray:
     words = join.words
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in _sets(batch.column(0).to_pylist(), words):
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64))], ["shingle"])
+        for batch in hashing.slices(batches, 128):
+            found = np.concatenate([*_sets(batch.column(0).to_pylist(), words)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
 
     ids = body.select("id").orderBy(F.xxhash64("id"), "id").limit(join.sample)
     some = body.join(F.broadcast(ids.distinct()), "id").select("text")
@@ -73,11 +73,12 @@ def common_shingles(body: DataFrame, join: Join) -> np.ndarray:
 
 
 def signatures(body: DataFrame, common: np.ndarray, join: Join) -> DataFrame:
-    """Per row: set size, 128 bits that tell the set, its bitmap, and the shingles by which it is found."""
+    """Per row: set size, 128 bits that tell the set, its bitmap, the shingles by which it is found, and a number that tells
+    the row once this is written."""
     words, percent = join.words, join.percent
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in hashing.slices(batches):
             sizes, first, second, bitmaps, found = [], [], [], [], []
             for one in _sets(batch.column(1).to_pylist(), words):
                 n = len(one)
@@ -107,7 +108,8 @@ def signatures(body: DataFrame, common: np.ndarray, join: Join) -> DataFrame:
             )
 
     kind = body.schema["id"].dataType.simpleString()
-    return body.mapInArrow(signed, f"id {kind}, n bigint, first bigint, second bigint, bitmap array<bigint>, found array<bigint>")
+    found = body.mapInArrow(signed, f"id {kind}, n bigint, first bigint, second bigint, bitmap array<bigint>, found array<bigint>")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def _tiles(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -156,7 +158,7 @@ def _verified(pairs: DataFrame, body: DataFrame, join: Join, scratch: Scratch) -
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in hashing.slices(batches, 128):
             linked = []
             for one, other in zip(_sets(batch.column(2).to_pylist(), words), _sets(batch.column(3).to_pylist(), words)):
                 both = len(np.intersect1d(one, other, assume_unique=True))
@@ -253,14 +255,14 @@ def link_documents(docs: DataFrame, join: Join = Join(), ident: str = "doc_id",
     classes = (
         signed.where(F.col("id").isNotNull() & (F.col("n") > 0))
         .groupBy("n", "first", "second")
-        .agg(F.min("id").alias("least"))
+        .agg(F.min(F.struct("id", "row")).alias("head"))
+        .select("n", "first", "second", F.col("head.id").alias("least"), F.col("head.row").alias("row"))
     )
     classes = scratch.write(classes, "classes")
-    told = signed.select("id", "n", "first", "second").join(classes, ["n", "first", "second"], "left")
+    told = signed.select("id", "n", "first", "second").join(classes.drop("row"), ["n", "first", "second"], "left")
     members = written(told.select("id", "n", "least"), "members")
-    heads = members.where(F.col("id") == F.col("least")).select("id", "n").distinct()
-    # A row of its own per class: rows that repeat an id and a text are the same set.
-    sets = signed.join(heads, ["id", "n"], "left_semi").dropDuplicates(["id", "n", "first", "second"])
+    # One row per class: rows that repeat an id and a text are the same set.
+    sets = signed.join(classes.select("row"), "row", "left_semi")
     sets = scratch.write(sets.select("id", "n", "bitmap", "found"), "sets")
     tiles = scratch.write(_tiles(sets, scratch), "tiles")
     sets = sets.drop("found")
