@@ -150,7 +150,8 @@ def _verified(pairs: DataFrame, body: DataFrame, join: Join, scratch: Scratch) -
     """The pairs whose sets agree to the share asked for, by intersecting their sorted arrays."""
     words, percent = join.words, join.percent
     pairs = scratch.write(pairs, "pairs")
-    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    one, other = (pairs.select(F.col(c).alias("id")).distinct() for c in ("a", "b"))
+    ids = scratch.write(one.unionByName(other).distinct(), "pair-ids")
     needed = F.broadcast(ids) if ids.count() <= join.broadcast_ids else ids
     texts = body.join(needed, "id", "left_semi")
     with_texts = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
