@@ -386,3 +386,17 @@ def test_passages_of_odd_documents(spark, docs):
     assert exact <= set(got) and None not in got
     assert got[900].repeated_words == 3000
     assert substring.find_passages(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_a_short_equal_stretch_does_not_hide_a_longer_changed_one():
+    settings = substring.Passages()
+    a = np.arange(110)
+    same = np.ones(110, bool)
+    same[40:55] = False
+    same[[60, 70, 80, 90, 100]] = False
+    at = np.flatnonzero(same)
+    assert substring.dense(at, at, settings) == [(55, 110, 55, 110)]
+    # 41 of 51 words agree although the stretch of highest gain is only 40 words long.
+    at = a[[*range(40), 50]]
+    assert substring.dense(at, at, settings) == [(0, 51, 0, 51)]
+    assert substring.dense(np.arange(50), np.arange(50), settings) == []
