@@ -400,3 +400,30 @@ def test_a_short_equal_stretch_does_not_hide_a_longer_changed_one():
     at = a[[*range(40), 50]]
     assert substring.dense(at, at, settings) == [(0, 51, 0, 51)]
     assert substring.dense(np.arange(50), np.arange(50), settings) == []
+
+
+def changed_copies(rng, size, share, settings):
+    """Two texts of word numbers that share a passage of which a share is changed, and that agrees enough."""
+    while True:
+        a = rng.integers(1, 2**62, size).astype(np.uint64)
+        b = a.copy()
+        at = rng.choice(size, round(share * size), replace=False)
+        b[at] = rng.integers(1, 2**62, len(at)).astype(np.uint64)
+        same = np.flatnonzero(a == b)
+        if substring.dense(same, same, settings):
+            fill = [rng.integers(1, 2**62, 80).astype(np.uint64) for _ in range(4)]
+            return np.concatenate([fill[0], a, fill[1]]), np.concatenate([fill[2], b, fill[3]])
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.19])
+def test_changed_passages_are_recalled(share):
+    rng, settings, found, count = np.random.default_rng(7), substring.Passages(), 0, 0
+    for size in (51, 60, 80, 120):
+        for _ in range(25):
+            a, b = changed_copies(rng, size, share, settings)
+            (seeds_a, at_a), (seeds_b, at_b) = (substring.sampled(t, settings.k, settings.window) for t in (a, b))
+            i, j = np.nonzero(seeds_a[:, None] == seeds_b[None, :])
+            chains = substring.chains(at_a[i], at_b[j], settings) if len(i) else []
+            found += any(substring.dense(*substring.align(c, a, b, settings), settings) for c in chains)
+            count += 1
+    assert found >= 0.95 * count
