@@ -427,3 +427,16 @@ def test_changed_passages_are_recalled(share):
             found += any(substring.dense(*substring.align(c, a, b, settings), settings) for c in chains)
             count += 1
     assert found >= 0.95 * count
+
+
+def test_documents_between_share_a_passage_of_frequent_lines(spark):
+    rng = random.Random(11)
+    words = vocabulary(rng, ENGLISH, 4000)
+    fill = lambda: sentence(rng, words, 40)
+    one, other = sentence(rng, words, 30), sentence(rng, words, 30)
+    middle = " ".join([*one.split()[-14:], *other.split()[:14]])
+    rows = [(i, f"{fill()} {part} {fill()}", "en", "a") for at in (0, 90) for i, part in enumerate([one, other, middle] * 3, at)]
+    rows += [(i, f"{fill()} {one} {other} {fill()}", "en", "a") for i in (50, 51)]
+    got = {r.doc_id: r for r in substring.find_passages(frame(spark, rows)).collect()}
+    assert set(got) == {50, 51}
+    assert all(60 <= r.repeated_words <= 64 for r in got.values())
