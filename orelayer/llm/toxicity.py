@@ -7,8 +7,9 @@ passage that scores highest, other documents through all; one dimension of the e
 scale of chances by a logistic fit on the training documents.
 
 Training reads a bounded, documented sample of labelled rows: of each label at most ``Settings.sample`` documents, those
-whose hashed ids are lowest; it runs on the driver, which gets those texts alone, each cut after ``Settings.train_chars``
-characters. Scoring reads every text in full, where it lies, with one number per n-gram bucket.
+whose hashed ids are lowest; it runs on the driver, which gets those texts alone: toxic ones whole, of longer clean ones
+pieces of ``Settings.train_chars`` characters in all, spread evenly over the whole text. The logistic fit is on the most toxic
+passage of whole texts, found where they lie. Scoring reads every text in full, where it lies, with one number per n-gram bucket.
 
 Defined results: null or empty text has the score of a text without n-grams, the same for all; rows keep their id, null
 or repeated; several labels of one id count as toxic if one is; where one label is missing altogether every score is that
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelayer.llm import grams
+from orelayer.session import written
 
 
 # Passages that are worked on at a time where a whole sample would take too much of the driver's memory.
@@ -40,6 +42,7 @@ class Settings:
     passage: int = 8
     sample: int = 1000
     train_chars: int = 10_000
+    piece_chars: int = 500
     epochs: int = 8
     batch: int = 256
     rate: float = 0.05
@@ -151,6 +154,21 @@ def _evidence(owner: np.ndarray, starts: np.ndarray, buckets: np.ndarray, toxic:
     return np.where(np.abs(sure) >= settings.weak, sure, 0.0)
 
 
+def spread(text: str, settings: Settings) -> str:
+    """A long text as pieces, cut at blanks, that are spread evenly from its start to its end."""
+    if len(text) <= settings.train_chars:
+        return text
+    starts = np.linspace(0, len(text) - settings.piece_chars, settings.train_chars // settings.piece_chars).astype(int).tolist()
+    pieces = []
+    for start in starts:
+        piece = text[start : start + settings.piece_chars]
+        # A word that is cut at an end of the piece goes.
+        low = piece.find(" ") + 1 if start and text[start - 1] != " " else 0
+        high = piece.rfind(" ") if start + len(piece) < len(text) and text[start + len(piece)] != " " else len(piece)
+        pieces.append(piece[low:high] if low < high else piece)
+    return " ".join(pieces)
+
+
 def train(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) -> Model:
     """Embeddings and softmax by stochastic gradient steps with per-value step sizes."""
     share = float(toxic.mean()) if len(toxic) else 0.0
@@ -159,7 +177,7 @@ def train(texts: list[str], toxic: np.ndarray, settings: Settings = Settings())
         chance = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(size), 0.0, 0.0, float(np.log(chance / (1 - chance))), settings)
     rng = np.random.default_rng(settings.seed)
-    owner, starts, buckets = _bags([t[: settings.train_chars] for t in texts], settings)
+    owner, starts, buckets = _bags(texts, settings)
     label = toxic[owner].astype(np.int64)
     embed = rng.uniform(-0.5, 0.5, (size, settings.dim)) / settings.dim
     soft, bias = rng.uniform(-0.5, 0.5, (settings.dim, 2)), np.zeros(2)
@@ -205,12 +223,12 @@ def train(texts: list[str], toxic: np.ndarray, settings: Settings = Settings())
                 seen += gradient**2
                 values -= settings.rate * gradient / np.sqrt(seen)
     weight, shift = embed @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
-    return _calibrated(weight, shift, texts, toxic, settings)
+    return _calibrated(weight, shift, highest(texts, weight, shift, settings), toxic, settings)
 
 
-def _calibrated(weight: np.ndarray, bias: float, texts: list[str], toxic: np.ndarray, settings: Settings) -> Model:
+def _calibrated(weight: np.ndarray, bias: float, x: np.ndarray, toxic: np.ndarray, settings: Settings) -> Model:
     """A logistic fit of the labels on the highest logits, labels softened a little so that it is always finite."""
-    x, share = highest(texts, weight, bias, settings), float(toxic.mean())
+    share = float(toxic.mean())
     high, low = (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((1 - toxic).sum() + 2)
     aim = np.where(toxic == 1, high, low)
     balance = np.where(toxic == 1, 0.25 / share, 0.75 / (1 - share))
@@ -233,10 +251,28 @@ def learn(
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).where(training)
     lowest = [known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample) for value in (0, 1)]
     chosen = F.broadcast(lowest[0].unionByName(lowest[1]))
-    rows = docs.select(docs[ident].alias("doc_id"), F.substring(docs[text], 1, settings.train_chars).alias("text")).join(chosen, "doc_id")
+    rows = docs.select(docs[ident].alias("doc_id"), docs[text].alias("text")).join(chosen, "doc_id")
     # Rows may repeat an id: the sample is bounded by rows too.
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * settings.sample).toArrow()
-    return train([t or "" for t in found["text"].to_pylist()], found["toxic"].to_numpy(), settings)
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * settings.sample)
+    rows = written(rows.select("text", "toxic").repartition(32), "toxicity-sample")
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "") if bad else spread(t or "", settings) for t, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "toxic"])
+
+    found = rows.mapInArrow(shortened, "text string, toxic int").orderBy("toxic", F.xxhash64("text")).toArrow()
+    model = train([t or "" for t in found["text"].to_pylist()], found["toxic"].to_numpy(), settings)
+    if not model.slope:
+        return model
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = highest(batch.column(0).to_pylist(), model.weight, model.bias, settings)
+            yield pa.RecordBatch.from_arrays([pa.array(x), batch.column(1)], ["x", "toxic"])
+
+    whole = rows.mapInArrow(judged, "x double, toxic int").orderBy("toxic", "x").toArrow()
+    return _calibrated(model.weight, model.bias, whole["x"].to_numpy(), whole["toxic"].to_numpy(), settings)
 
 
 def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:

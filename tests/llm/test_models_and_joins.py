@@ -440,3 +440,23 @@ def test_documents_between_share_a_passage_of_frequent_lines(spark):
     got = {r.doc_id: r for r in substring.find_passages(frame(spark, rows)).collect()}
     assert set(got) == {50, 51}
     assert all(60 <= r.repeated_words <= 64 for r in got.values())
+
+
+def test_toxic_passages_late_in_long_texts_are_learned(spark):
+    rng = random.Random(8)
+    words, bad = vocabulary(rng, ENGLISH), [w + "zzq" for w in vocabulary(rng, "bfgkvwxyz", 40)]
+    rows = [(i, sentence(rng, words, 3000), "en", "a") for i in range(120)]
+    rows = [(i, f"{text} {sentence(rng, bad, 8)}" if i % 3 == 0 else text, *rest) for i, text, *rest in rows]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    docs = frame(spark, rows)
+    model = toxicity.learn(docs, labels, F.col("doc_id") < 90)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == int(i % 3 == 0) for i in range(90, 120))
+
+
+def test_pieces_are_spread_over_the_whole_text():
+    settings = toxicity.Settings(train_chars=100, piece_chars=20)
+    text = " ".join(str(n) for n in range(1000, 3000))
+    found = toxicity.spread(text, settings).split()
+    assert found[0] == "1000" and found[-1] == "2999" and set(found) <= set(text.split())
+    assert toxicity.spread("ab cd", settings) == "ab cd"
