@@ -4,8 +4,9 @@ Documents are read in overlapping passages, twice as long as the longest item, s
 whole in one of them. Passages ask a BM25 index whose impacts are divided by what the item scores against itself, so a score
 is the share of an item that a passage covers and one threshold serves items of any length. A passage is looked at only
 where the block maxima of its terms can reach the threshold; there block-max WAND retrieves all items above it, with no
-limit on their number. An item counts as found when enough of the word runs of its question, and of its answer (its last
-sentence, if it has several), stand in the passage.
+limit on their number. An item counts as found when enough of its word runs stand in the passage; where a question and an
+answer can be told apart, enough of those of each: in an item of two sentences, and in a longer one with a question mark before,
+or a mark like "Answer:" at, its last sentence unless that is just a few words. Overlaps of question and answer are shown for the last sentence of any item.
 
 The items are the smaller side. They go through the driver in blocks of at most ``Test.items`` items, shortest first, and each
 block is an index of its own that is broadcast: a bounded size however many items there are. Documents are not shuffled.
@@ -33,6 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from orelayer.llm import hashing
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
+ANSWER = re.compile(r"(?i)\W*(a|answer|antwort|réponse|respuesta)\s*:")
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class Test:
     threshold: float = 0.6
     overlap: float = 0.5
     run: int = 3
+    # An answer of fewer runs is not asked for on its own.
+    answer_runs: int = 3
     k1: float = 1.2
     b: float = 0.75
     block: int = 8
@@ -59,18 +63,26 @@ class Item:
     words: np.ndarray
     question: np.ndarray
     answer: np.ndarray
+    whole: np.ndarray
+    # Whether the answer must be found on its own.
+    asks: bool
 
 
-def parse_items(rows: list[tuple[object, str | None]], run: int) -> list[Item]:
+def parse_items(rows: list[tuple[object, str | None]], run: int, least_answer: int = 3) -> list[Item]:
     """Items with their word runs; the last sentence is the answer if something comes before it."""
     found = []
     for ident, text in rows:
-        parts = [w for w in _words(SENTENCE.split((text or "").strip())) if len(w)]
-        if not parts:
+        sentences = SENTENCE.split((text or "").strip())
+        said = [(s, w) for s, w in zip(sentences, _words(sentences)) if len(w)]
+        if not said:
             continue
+        parts = [w for _, w in said]
+        asks = len(said) > 2 and (said[-2][0].endswith("?") or bool(ANSWER.match(said[-1][0])))
         asked, told = (parts[:-1], parts[-1]) if len(parts) > 1 else (parts, parts[0][:0])
         asked = np.concatenate(asked)
-        found.append(Item(ident, np.concatenate(parts), np.unique(hashing.runs(asked, run)), np.unique(hashing.runs(told, run))))
+        words = np.concatenate(parts)
+        question, answer, whole = (np.unique(hashing.runs(w, run)) for w in (asked, told, words))
+        found.append(Item(ident, words, question, answer, whole, len(said) == 2 or (asks and len(answer) >= least_answer)))
     return found
 
 
@@ -220,7 +232,10 @@ class Index:
             for item, score in hits:
                 one = self.items[item]
                 asked, told = self._overlap(one.question, body, present), self._overlap(one.answer, body, present)
-                if min(asked, told) >= self.test.overlap and score > best.get((owner, item), (0.0,))[0]:
+                enough = min(asked, told) >= self.test.overlap
+                if not enough and not one.asks:
+                    enough = self._overlap(one.whole, body, present) >= self.test.overlap
+                if enough and score > best.get((owner, item), (0.0,))[0]:
                     best[owner, item] = (score, asked, told, start)
         for (owner, item), values in best.items():
             yield owner, item, *values
@@ -261,10 +276,10 @@ def _indexes(items: DataFrame, test: Test, item: str, item_text: str) -> Iterato
     for row in rows.toLocalIterator():
         held.append((row[0], row[1]))
         if len(held) == test.items:
-            if block := parse_items(held, test.run):
+            if block := parse_items(held, test.run, test.answer_runs):
                 yield context.broadcast(Index(test, block))
             held = []
-    if block := parse_items(held, test.run):
+    if block := parse_items(held, test.run, test.answer_runs):
         yield context.broadcast(Index(test, block))
 
 

@@ -442,6 +442,20 @@ def test_documents_between_share_a_passage_of_frequent_lines(spark):
     assert all(60 <= r.repeated_words <= 64 for r in got.values())
 
 
+def test_copies_with_another_last_sentence_are_found(spark):
+    rng = random.Random(5)
+    words = vocabulary(rng, ENGLISH, 2000)
+    first = [sentence(rng, words, 12) for _ in range(4)]
+    prose = ". ".join(first) + "."
+    asked = sentence(rng, words, 20)
+    items = [(1, f"{prose} thes inth er."), (2, f"{asked}? {sentence(rng, words, 9)}.")]
+    fill = lambda: sentence(rng, words, 60)
+    rows = [(i, f"{fill()} {text} {fill()}", "en", "a") for i, text in enumerate([f"{prose} thes inth oder.", prose, f"{asked}?", fill()])]
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.find_items(frame(spark, rows), tests).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (1, 1)}
+
+
 def test_toxic_passages_late_in_long_texts_are_learned(spark):
     rng = random.Random(8)
     words, bad = vocabulary(rng, ENGLISH), [w + "zzq" for w in vocabulary(rng, "bfgkvwxyz", 40)]
