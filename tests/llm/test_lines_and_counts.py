@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orelayer.llm import chat, line_dedup, mixing, quality_rules, token_counts
 from orelayer.llm.text import table, word_count
-from tests.llm.rows import FOLD, WORD, frame, odd_documents
+from tests.llm.rows import ENGLISH, FOLD, WORD, frame, odd_documents, sentence, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -284,3 +284,23 @@ def test_mixing_on_the_given_documents(spark, folder):
     got = mixing.mix_sources(table(spark, folder, "documents").select("doc_id", "text", "source"))
     total = got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"))
     assert total.where("abs(taken - target) > 1").count() == 0
+
+
+def test_a_document_extreme_in_one_statistic_alone_is_rejected(spark):
+    rng = random.Random(6)
+    words = [w for w in vocabulary(rng, ENGLISH, 3000) if 3 <= len(w) <= 7]
+    text = lambda n, lines=10: "\n".join(sentence(rng, words, n // lines) for _ in range(lines))
+    rows = [(i, text(rng.randint(80, 400)), "en", "a") for i in range(300)]
+    plain = text(200)
+    menu = "\n".join([*["home"] * 12, *(sentence(rng, words, 30) for _ in range(8))])
+    again = sentence(rng, words, 45)
+    odd = [
+        (900, text(60_000, 1000), "en", "a"),
+        (901, "\n".join(sentence(rng, [w * 3 for w in words], 20) for _ in range(10)), "en", "a"),
+        (902, plain.replace(" ", "# "), "en", "a"),
+        (903, menu, "en", "a"),
+        (904, f"{again}\n{text(110)}\n{again} {sentence(rng, words, 2)}", "en", "a"),
+    ]
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.apply_rules(frame(spark, rows + odd)).collect()}
+    assert [kept[i] for i in range(900, 905)] == [(False, False)] * 5
+    assert sum(kept[i][1] for i in range(300)) >= 297
