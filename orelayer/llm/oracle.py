@@ -44,5 +44,61 @@ reached AS (
   UNION SELECT l.b, r.label FROM reached r JOIN links l ON l.a = r.node)
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id
 FROM sets JOIN (SELECT node AS doc_id, min(label) AS component_id FROM reached GROUP BY node) USING (doc_id)
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM starts) WHERE i + k - 1 <= len(w)),
+known AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM known WHERE k >= 2),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, c.j, ((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+  JOIN known y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:c.k], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM known WHERE k > 2)) GROUP BY ALL),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+""",
+    "op13_filter_audit": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM docs LEFT JOIN told USING (doc_id)),
+counts AS (SELECT part, fails, good, toxic, count(*) AS n FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+rows AS (
+  SELECT *, contains(fails, own) AS fail, before <> '' AND regexp_matches(fails, '[' || before || 'x]') AS earlier FROM counts, steps),
+removal AS (SELECT part, own, sum(n) FILTER (WHERE fail AND NOT earlier) AS total FROM rows GROUP BY part, own)
+SELECT part, filter_order, step::INT AS step,
+       coalesce(sum(n) FILTER (WHERE NOT fail AND NOT earlier), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (WHERE fail AND NOT earlier), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (WHERE fail AND earlier), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+       coalesce(sum(n) FILTER (WHERE fail AND NOT earlier AND good = 1), 0)::BIGINT AS good_lost,
+       coalesce(sum(n) FILTER (WHERE fail AND NOT earlier AND toxic = 1), 0)::BIGINT AS toxic_lost,
+       coalesce(any_value(total), 0)::BIGINT AS shapley
+FROM rows JOIN removal USING (part, own) GROUP BY part, filter_order, step
 """,
 }

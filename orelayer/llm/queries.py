@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelayer.llm import chat, decontaminate, jaccard, language, line_dedup, mixing, quality_rules, substring, token_counts, toxicity
+from orelayer.llm import (
+    boosted_quality,
+    chat,
+    decontaminate,
+    filter_audit,
+    jaccard,
+    language,
+    line_dedup,
+    mixing,
+    phrases,
+    quality_rules,
+    substring,
+    token_counts,
+    toxicity,
+)
 from orelayer.llm.text import held_out, table
 
 
@@ -69,6 +83,21 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    measured = boosted_quality.measured(table(spark, folder, "documents").select("doc_id", "text"))
+    forest = boosted_quality.learn(measured, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
+    found = boosted_quality.score(measured, forest)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(spark, f"{folder}/documents.parquet", table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -80,4 +109,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_collocations": op12_collocations,
+    "op13_filter_audit": op13_filter_audit,
 }

@@ -23,7 +23,7 @@ ROOT = Path(__file__).resolve().parents[2]
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert names >= {*QUERIES, "pipeline"} and set(__spark_entry__.oracle_sql()) >= set(ORACLE)
 
 
