@@ -733,3 +733,16 @@ ORACLE["synth_for_schema"] = f"""SELECT p_partkey,
   {', '.join(noisy(c, person(8, c, 'p_partkey')) for c in ('p_name', 'p_brand', 'p_type'))},
   {noisy('p_size', whole(8, 'p_size', 0, 100, 'p_partkey'))},
   {noisy('p_retailprice', whole(8, 'p_retailprice', 0, 100000, 'p_partkey') + ' / CAST(100 AS DOUBLE)')} FROM part"""
+
+# ---------------------------------------------------------------- tables kept up to date
+
+ORACLE["keyed_merge"] = ORACLE["upsert"]
+ORACLE["keyed_merge_files"] = """WITH near AS (
+  SELECT count(*) AS n FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) FROM orders) + 20), total AS (SELECT count(*) AS n FROM orders)
+  SELECT CAST(v AS INTEGER) AS version, CAST(total.n - CASE WHEN v = 3 THEN near.n ELSE 0 END AS BIGINT) AS rows,
+    CAST(CASE WHEN v IN (2, 3) THEN 1 ELSE 0 END AS INTEGER) AS rewritten, v > 1 AS most_kept
+  FROM near, total, (SELECT unnest([1, 2, 3, 4]) AS v)"""
+ORACLE["scd2_incremental"] = ORACLE["scd2_from_events"]
+ORACLE["digest_diff"] = ORACLE["snapshot_diff"]
+ORACLE["digest_shares"] = """SELECT pair, 2 * (SELECT count(*) FROM orders) AS rows, pair = 'first-changed' AS differ, true AS reads_less
+  FROM (SELECT unnest(['first-same', 'first-changed']) AS pair)"""

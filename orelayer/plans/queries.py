@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orelayer.functions import columns as C
 from orelayer.functions import skew
-from orelayer.operators import frames, gold, history, quality, silver, synth
+from orelayer.operators import digests, frames, gold, history, keyed, quality, silver, synth, version_store
 from orelayer.plans import build
 from orelayer.plans.bindings import Source, accounts_after, accounts_before
 from orelayer.session import shared_dir, written
@@ -981,3 +981,88 @@ def synth_for_schema(source):
     part = source.given("part")
     rows = synth.generate_for(part.select("p_partkey"), "p_partkey", part.schema, NOW, seed=8)
     return synth.add_noise(rows, "p_partkey", 10.0, seed=9)
+
+
+# ---------------------------------------------------------------- tables kept up to date
+
+
+@query
+def keyed_merge(source):
+    """Customers' newest orders merged in three change sets into a table of key ranges, each rewriting the files it touches."""
+    current = source.given("customer").select(
+        F.col("c_custkey").alias("custkey"),
+        F.lit(None).cast("bigint").alias("last_order"),
+        C.money("c_acctbal").alias("amount"),
+        F.lit(None).cast("timestamp_ntz").alias("ordered"),
+    )
+    orders = source.given("orders").select(
+        F.col("o_custkey").alias("custkey"),
+        F.col("o_orderkey").alias("last_order"),
+        C.money("o_totalprice").alias("amount"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("ordered"),
+    )
+    table = keyed.KeyedTable(source.spark, shared_dir(source.spark, "keyed"), ["custkey"])
+    table.create(current)
+    for low, high in (("1900-01-01", "1998-01-01"), ("1998-01-01", "2001-01-01"), ("2001-01-01", "2100-01-01")):
+        part = orders.where((F.col("ordered") >= low) & (F.col("ordered") < high))
+        table.merge(part, ["ordered", "last_order"])
+    return table.read().drop("ordered")
+
+
+@query
+def keyed_merge_files(source):
+    """Orders in files of about a tenth each; lines of few orders change a total, orders end, orders begin: what every merge rewrote."""
+    orders = source.given("orders").select("o_orderkey", C.money("o_totalprice").alias("total"), F.lit(False).alias("gone"))
+    count = orders.count()
+    table = keyed.KeyedTable(source.spark, shared_dir(source.spark, "keyed"), ["o_orderkey"], rows_per_file=max(1, count // 10))
+    reports = [table.create(orders.drop("gone"))]
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    near = orders.where(F.col("o_orderkey") < first + 20)
+    changes = [
+        near.withColumn("total", (F.col("total") + 1).cast("decimal(18,2)")),
+        near.withColumn("gone", F.lit(True)),
+        near.withColumn("o_orderkey", -F.col("o_orderkey") - 1),
+    ]
+    reports += [table.merge(c, deleted=F.col("gone")) for c in changes]
+    rows = [(r.version, r.rows, r.rewritten, r.kept >= 5) for r in reports]
+    return source.spark.createDataFrame(rows, "version int, rows bigint, rewritten int, most_kept boolean")
+
+
+@query
+def scd2_incremental(source):
+    """Events in three batches, a part of the early ones late by two: the same versions as from all of them at once."""
+    events = source.given("events").select("event_id", "user_id", "ts", "event_type")
+    store = version_store.VersionStore(source.spark, shared_dir(source.spark, "versions"), EVENT_KEYS, EVENT_STATE, EVENT_ORDER, NOW)
+    late = F.col("event_type") == "error"
+    recent = F.col("ts") >= C.clock("2024-01-16 00:00:00")
+    for part in (~late & ~recent, recent, late & ~recent):
+        store.apply(events.where(part))
+    return store.read()
+
+
+@query
+def digest_diff(source):
+    """The changes of accounts, from ranges whose digests differ."""
+    return digested_accounts(source, 100).diff("before", BATCH, NOW)
+
+
+@query
+def digest_shares(source):
+    """Two snapshots of orders of which a few differ, and two that are alike: rows in both, whether fewer are read, nodes that differ."""
+    store = digests.DigestedSnapshots(source.spark, shared_dir(source.spark, "digests"), ["o_orderkey"], rows_per_range=50)
+    orders = source.given("orders").select("o_orderkey", C.money("o_totalprice").alias("total"))
+    changed = F.when(F.col("o_orderkey") <= 3, F.col("total") + 1).otherwise(F.col("total")).cast("decimal(18,2)")
+    for name, df in (("first", orders), ("same", orders.orderBy(F.desc("total"))), ("changed", orders.withColumn("total", changed))):
+        store.write(df, name)
+    found = []
+    for old, new in (("first", "same"), ("first", "changed")):
+        nodes, _, told = store.compare(old, new)
+        found.append((f"{old}-{new}", told.rows, bool(nodes), told.rows_read < told.rows))
+    return source.spark.createDataFrame(found, "pair string, rows bigint, differ boolean, reads_less boolean")
+
+
+def digested_accounts(source: Source, rows_per_range: int) -> digests.DigestedSnapshots:
+    store = digests.DigestedSnapshots(source.spark, shared_dir(source.spark, "digests"), ["account_id"], rows_per_range=rows_per_range)
+    store.write(accounts_before(source), "before")
+    store.write(accounts_after(source), BATCH)
+    return store
