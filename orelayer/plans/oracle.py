@@ -746,3 +746,4 @@ ORACLE["scd2_incremental"] = ORACLE["scd2_from_events"]
 ORACLE["digest_diff"] = ORACLE["snapshot_diff"]
 ORACLE["digest_shares"] = """SELECT pair, 2 * (SELECT count(*) FROM orders) AS rows, pair = 'first-changed' AS differ, true AS reads_less
   FROM (SELECT unnest(['first-same', 'first-changed']) AS pair)"""
+ORACLE["stream_history_corrected"] = ORACLE["history_with_deletes"]

@@ -16,7 +16,7 @@ from orelayer.plans import build
 from orelayer.plans.bindings import Source, accounts_after, accounts_before
 from orelayer.session import shared_dir, written
 from orelayer.sources import readers, sinks
-from orelayer.streaming import changes, landing
+from orelayer.streaming import changes, corrections, landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1066,3 +1066,16 @@ def digested_accounts(source: Source, rows_per_range: int) -> digests.DigestedSn
     store.write(accounts_before(source), "before")
     store.write(accounts_after(source), BATCH)
     return store
+
+
+@query
+def stream_history_corrected(source):
+    """Events dealt over four files by id, so that each micro-batch brings late ones: the history of all events in order, with deletes."""
+    root = shared_dir(source.spark, "corrections")
+    events = source.given("events").select("event_id", "user_id", "ts", "event_type")
+    events.repartition(4, "event_id").write.parquet(f"{root}/in")
+    with changes.rocksdb_state(source.spark):
+        arriving = landing.read_arriving(source.spark, f"{root}/in", events.schema, files_per_batch=1)
+        rows = corrections.corrected_history(arriving, EVENT_KEYS, EVENT_STATE, EVENT_ORDER, NOW, deleted=F.col("event_type") == "error")
+        landing.append_files(rows, f"{root}/history", f"{root}/checkpoint").awaitTermination()
+    return corrections.standing(source.spark.read.schema(rows.schema).parquet(f"{root}/history"))
