@@ -1,11 +1,12 @@
 """Mixing sources to target weights with exact block quotas.
 
 Every source is a stream of words: its documents in the order of a hash, one after the other. The stream is cut into
-blocks of equal size, and the mix draws blocks, not documents. How many blocks of each source a shard gets is decided
-from the top down: the quotas of all sources are split in two by a multivariate hypergeometric draw, and each half
-again, until every shard has its own. A shard's draws are the next ones of the source's permuted blocks, so the draws of
-shards never overlap within a pass, and within a shard the blocks are ordered by a hash. The last block of a source is
-cut, so that the words taken are its target to the word.
+blocks of equal size, and the mix draws blocks, not documents. Every shard owns an equal share of each source's permuted blocks,
+so that no two shards draw the same one. How many blocks of each source a shard draws is decided from the top down: the quotas of
+all sources are split in two by a multivariate hypergeometric draw, and each half again, until every shard has its own; no half gets
+more than its blocks can give. A shard draws its own blocks in permuted order, again from the first after the last, so the tree
+decides which blocks are taken and how often; within a shard the draws are shuffled by a hash. The short block at a source's end
+belongs to no shard's quota; with it, or with one draw that is cut, the words taken are the target to the word.
 
 Only one row per source goes through the driver (and a number per source and shard); ``max_sources`` bounds it and more
 sources are an error, not a cut. Positions in a stream are sums over hash buckets, so no task sees a whole source.
@@ -62,9 +63,16 @@ def source_targets(sizes: list[int], weights: list[float], share: float = 1.0, m
     return targets
 
 
-def shard_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Blocks by source and shard: rows add up to ``quotas``, shards differ by at most one block at each split."""
+def shard_bounds(blocks: np.ndarray, shards: int) -> np.ndarray:
+    """By source: the first rank that each shard owns, and the end."""
+    return np.asarray(blocks, np.int64)[:, None] * np.arange(shards + 1) // shards
+
+
+def shard_quotas(quotas: list[int], passes: list[int], blocks: list[int], shards: int, seed: int) -> np.ndarray:
+    """Draws by source and shard: rows add up to ``quotas``, a shard draws none of its blocks more than ``passes`` times, and the shards'
+    totals are as equal as that allows."""
     found = np.zeros((len(quotas), shards), np.int64)
+    room = np.asarray(passes, np.int64)[:, None] * np.diff(shard_bounds(blocks, shards)) if quotas else found
     waiting = [(np.asarray(quotas, np.int64), 0, shards)] if quotas else []
     while waiting:
         own, low, high = waiting.pop()
@@ -72,35 +80,39 @@ def shard_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
             found[:, low] = own
             continue
         middle = (low + high) // 2
-        total = int(own.sum())
+        most = np.minimum(own, room[:, low:middle].sum(axis=1))
+        least = np.maximum(own - room[:, middle:high].sum(axis=1), 0)
+        aim = int(own.sum()) * (middle - low) // (high - low)
         rng = np.random.default_rng([seed, low, high])
-        left = rng.multivariate_hypergeometric(own, total * (middle - low) // (high - low), method="marginals")
+        left = np.clip(rng.multivariate_hypergeometric(own, aim, method="marginals"), least, most)
+        # What the bounds took or gave is made up, again by a draw, by sources that have room for it.
+        gap = min(max(aim, int(least.sum())), int(most.sum())) - int(left.sum())
+        spare = most - left if gap > 0 else left - least
+        left = left + np.sign(gap) * rng.multivariate_hypergeometric(spare, abs(gap), method="marginals")
         waiting += [(left, low, middle), (own - left, middle, high)]
     return found
 
 
 def plan_source(size: int, take: int, block: int, seed: int) -> dict:
-    """Permutation, full passes, blocks of the last pass and words of its last block, for ``take`` words of a stream."""
-    blocks = -(-size // block)
-    step = max(1, int(blocks * 0.6180339887)) if blocks else 1
-    while blocks and gcd(step, blocks) != 1:
+    """How ``take`` words come from a stream: permutation and number of its ``full`` blocks, ``quota`` draws of them in at most ``passes`` each,
+    of which one is cut to ``cut`` words unless that is 0; the rest of the stream ``tails`` times and then ``rest`` words of it."""
+    full, tail = divmod(size, block)
+    step = max(1, int(full * 0.6180339887))
+    while full and gcd(step, full) != 1:
         step += 1
-    passes, rest = divmod(take, size) if size else (0, 0)
-    shift = seed % blocks if blocks else 0
-    tail = size - (blocks - 1) * block
-    rank = (step * (blocks - 1) + shift + passes) % blocks if blocks else 0
-    if rest <= rank * block:
-        last, cut = -(-rest // block), rest - (-(-rest // block) - 1) * block
-    elif rest <= rank * block + tail:
-        last, cut = rank + 1, rest - rank * block
-    else:
-        more = -(-(rest - tail) // block)
-        last, cut = more + 1, rest - tail - (more - 1) * block
-    return {"blocks": blocks, "step": step, "shift": shift, "passes": passes, "last": last, "cut": cut}
+    turns, left = divmod(take, size) if size else (0, 0)
+    last = min(left // block, full)
+    more = left - last * block
+    cut = more if more > tail else 0
+    last += bool(cut)
+    return {
+        "full": full, "step": step, "shift": seed % full if full else 0, "quota": turns * full + last, "passes": turns + bool(last),
+        "cut": cut, "tails": turns, "rest": 0 if cut else more,
+    }
 
 
 def _sources(measured: DataFrame, mix: Mix) -> DataFrame:
-    """One row per source: its place, size, target, permutation and the end of each shard's draws."""
+    """One row per source: its place, size, target, permutation, and what each shard owns and draws of it."""
     rows = measured.groupBy("source").agg(F.sum("size").alias("n")).take(mix.max_sources + 1)
     if len(rows) > mix.max_sources:
         raise ValueError(f"more than {mix.max_sources} sources; group them first or raise max_sources")
@@ -110,18 +122,25 @@ def _sources(measured: DataFrame, mix: Mix) -> DataFrame:
     targets = source_targets(sizes, weights, mix.share, mix.most)
     block = max(mix.block_words, -(-mix.most * sum(sizes) // MOST_BLOCKS))
     plans = [plan_source(n, min(round(t), mix.most * n), block, mix.seed) for n, t in zip(sizes, targets)]
-    ends = shard_quotas([p["passes"] * p["blocks"] + p["last"] for p in plans], mix.shards, mix.seed).cumsum(axis=1)
+    column = {c: [p[c] for p in plans] for c in ("quota", "passes", "full")}
+    quotas = shard_quotas(column["quota"], column["passes"], column["full"], mix.shards, mix.seed)
+    bounds = shard_bounds(column["full"], mix.shards)
+    plain = ("full", "step", "shift", "passes", "cut", "tails", "rest")
     schema = T.StructType(
         [T.StructField("source", T.StringType()), T.StructField("slot", T.IntegerType())]
-        + [T.StructField(c, T.LongType()) for c in ("source_size", "block_words", "blocks", "step", "shift", "passes", "last", "cut")]
-        + [T.StructField("target", T.DoubleType()), T.StructField("ends", T.ArrayType(T.LongType()))]
+        + [T.StructField(c, T.LongType()) for c in ("source_size", "block_words", *plain, "cut_shard")]
+        + [T.StructField("target", T.DoubleType())]
+        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("bounds", "quotas")]
     )
     values = [
-        (r.source, i, sizes[i], block, *(plans[i][c] for c in ("blocks", "step", "shift", "passes", "last", "cut")), targets[i], ends[i].tolist())
+        (
+            r.source, i, sizes[i], block, *(plans[i][c] for c in plain),
+            int(np.flatnonzero(quotas[i])[-1]) if plans[i]["cut"] else -1, targets[i], bounds[i].tolist(), quotas[i].tolist(),
+        )
         for i, r in enumerate(rows)
-    ]
+    ]
     found = measured.sparkSession.createDataFrame(values, schema)
-    return F.broadcast(found) if len(rows) * (mix.shards + 10) <= BROADCAST_VALUES else found
+    return F.broadcast(found) if len(rows) * (2 * mix.shards + 14) <= BROADCAST_VALUES else found
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -146,28 +165,33 @@ def _draws(seed: int) -> Column:
     c = F.col
     first, final = F.expr("start div block_words"), F.expr("(start + size - 1) div block_words")
 
-    def draw(block: Column, turn: Column) -> Column:
-        rank = (c("step") * block + c("shift") + turn) % c("blocks")
+    def owned(block: Column) -> Column:
+        """The block's rank among the source's permuted blocks, and the shard that owns it."""
+        rank = (c("step") * block + c("shift")) % F.greatest(c("full"), F.lit(1).cast("bigint"))
+        return F.struct(block.alias("block"), rank.alias("rank"), (F.size(F.filter("bounds", lambda e: e <= rank)) - 1).alias("shard"))
+
+    def draw(o: Column, turn: Column) -> Column:
+        block, shard, whole = o["block"], o["shard"], o["block"] < c("full")
+        begin = F.get("bounds", shard)
+        number = turn * (F.get("bounds", shard + 1) - begin) + o["rank"] - begin
+        quota = F.get("quotas", shard)
         low = F.greatest(c("start"), block * c("block_words"))
         high = F.least(c("start") + c("size"), (block + 1) * c("block_words"))
-        cut = F.least(high, block * c("block_words") + c("cut"))
-        end = (
-            F.when((turn < c("passes")) | (rank < c("last") - 1), high)
-            .when(rank == c("last") - 1, cut)
-            .otherwise(low)
-        )
-        place = turn * c("blocks") + rank
+        part = lambda n: F.least(high, block * c("block_words") + n)
+        of_full = F.when((c("cut_shard") == shard) & (number == quota - 1), part(c("cut"))).when(number < quota, high).otherwise(low)
+        of_tail = F.when(turn < c("tails"), high).when(turn == c("tails"), part(c("rest"))).otherwise(low)
         return F.struct(
-            F.size(F.filter("ends", lambda e: e <= place)).alias("shard"),
-            F.xxhash64(F.lit(seed), c("slot"), place).alias("place"),
+            F.when(whole, shard).otherwise(F.pmod(c("slot"), F.size("quotas"))).alias("shard"),
+            F.xxhash64(F.lit(seed), c("slot"), turn, block).alias("place"),
             turn.alias("turn"),
             block.alias("block"),
             (low - c("start")).alias("from"),
-            F.greatest(end - low, F.lit(0)).alias("words"),
+            F.greatest(F.when(whole, of_full).otherwise(of_tail) - low, F.lit(0)).alias("words"),
         )
 
-    turns = F.sequence(F.lit(0).cast("bigint"), c("passes"))
-    made = F.flatten(F.transform(F.sequence(first, final), lambda b: F.transform(turns, lambda t: draw(b, t))))
+    turns = F.sequence(F.lit(0).cast("bigint"), F.greatest(c("passes"), c("tails")))
+    blocks = F.transform(F.sequence(first, final), owned)
+    made = F.flatten(F.transform(blocks, lambda o: F.transform(turns, lambda t: draw(o, t))))
     return F.when(c("size") > 0, F.filter(made, lambda d: d["words"] > 0))
 
 

@@ -225,11 +225,13 @@ def test_targets_share_the_excess():
 
 
 def test_shard_quotas_are_exact():
-    quotas = [1000, 0, 3, 77_777]
-    found = mixing.shard_quotas(quotas, 7, 5)
+    quotas, passes, blocks = [1000, 0, 3, 77_777, 300], [1, 0, 3, 2, 3], [2000, 50, 1, 40_000, 100]
+    found = mixing.shard_quotas(quotas, passes, blocks, 7, 5)
     assert found.sum(axis=1).tolist() == quotas
-    assert np.ptp(found.sum(axis=0)) <= 3
-    assert (found == mixing.shard_quotas(quotas, 7, 5)).all() and (found != mixing.shard_quotas(quotas, 7, 6)).any()
+    assert np.ptp(found.sum(axis=0)) <= 7  # the source of one block goes to one shard, the last one takes all it can everywhere
+    room = np.array(passes)[:, None] * np.diff(mixing.shard_bounds(blocks, 7))
+    assert (found <= room).all() and (found[4] == room[4]).all()
+    assert (found == mixing.shard_quotas(quotas, passes, blocks, 7, 5)).all() and (found != mixing.shard_quotas(quotas, passes, blocks, 7, 6)).any()
 
 
 @pytest.mark.parametrize("block", [1, 3, 7, 64])
@@ -237,12 +239,28 @@ def test_plans_take_the_target_to_the_word(block):
     for size in (1, 2, 13, 64, 200):
         for take in range(0, 3 * size + 1):
             plan = mixing.plan_source(size, take, block, 11)
-            blocks, total = plan["blocks"], plan["passes"] * size
-            for b in range(blocks):
-                words = min(block, size - b * block)
-                rank = (plan["step"] * b + plan["shift"] + plan["passes"]) % blocks
-                total += words if rank < plan["last"] - 1 else min(words, plan["cut"]) if rank == plan["last"] - 1 else 0
-            assert total == take
+            whole = plan["quota"] * block - (block - plan["cut"] if plan["cut"] else 0)
+            assert whole + plan["tails"] * (size % block) + plan["rest"] == take
+            assert plan["quota"] <= plan["passes"] * plan["full"] and max(plan["passes"], plan["tails"] + bool(plan["rest"])) <= 3
+            assert len({(plan["step"] * b + plan["shift"]) % plan["full"] for b in range(plan["full"])}) == plan["full"]
+
+
+def test_what_is_taken_follows_from_the_tree(spark, monkeypatch):
+    """Another tree with the same totals takes other words of documents, and still the same of each source."""
+    docs = [(i, " ".join(f"w{k}" for k in range(60 + i % 9)), "en", "abc"[i % 3]) for i in range(150)]
+    mix, tree = mixing.Mix(block_words=16, shards=8), mixing.shard_quotas
+    taken = []
+    for split in (tree, lambda *args: tree(*args[:-1], args[-1] + 1)):
+        monkeypatch.setattr(mixing, "shard_quotas", split)
+        rows = mixing.mix_sources(frame(spark, docs), mix).collect()
+        taken.append(({r.doc_id: r.taken for r in rows}, Counter()))
+        for r in rows:
+            taken[-1][1][r.target] += r.taken
+    assert taken[0][0] != taken[1][0] and taken[0][1] == taken[1][1]
+    with monkeypatch.context() as gone:
+        gone.setattr(mixing, "shard_quotas", lambda quotas, *rest: np.zeros_like(tree(quotas, *rest)))
+        gone.setattr(mixing, "plan_source", lambda *args, plan=mixing.plan_source: {**plan(*args), "cut": 0, "tails": 0, "rest": 0})
+        assert sum(r.taken for r in mixing.mix_sources(frame(spark, docs), mix).collect()) == 0
 
 
 def test_mix_takes_the_targets(spark, docs):
