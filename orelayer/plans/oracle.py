@@ -747,3 +747,13 @@ ORACLE["digest_diff"] = ORACLE["snapshot_diff"]
 ORACLE["digest_shares"] = """SELECT pair, 2 * (SELECT count(*) FROM orders) AS rows, pair = 'first-changed' AS differ, true AS reads_less
   FROM (SELECT unnest(['first-same', 'first-changed']) AS pair)"""
 ORACLE["stream_history_corrected"] = ORACLE["history_with_deletes"]
+ORACLE["stream_landing_unique"] = ORACLE["stream_without_repeats"]
+ORACLE["rollup_maintained"] = rental(
+    """SELECT rental_year, rental_quarter, rental_month,
+    CAST(grouping(rental_year, rental_quarter, rental_month) AS INTEGER) AS level,
+    CAST(sum(revenue_amount) AS DECIMAL(28,2)) AS revenue, count(*) AS rentals, count(*) FILTER (is_weekend_rental) AS weekend_rentals,
+    CAST(min(revenue_amount) AS DECIMAL(28,2)) AS least_revenue_amount, CAST(max(revenue_amount) AS DECIMAL(28,2)) AS largest_revenue_amount
+    FROM fact_rental GROUP BY ROLLUP (rental_year, rental_quarter, rental_month)"""
+)
+ORACLE["sketch_profile"] = f"""SELECT column_name, row_count, null_count, min_value, max_value, true AS distinct_close, true AS median_close,
+  true AS heavy_close FROM ({PROFILE}) WHERE column_name IN ('o_custkey', 'o_orderdate', 'o_orderpriority', 'o_totalprice')"""

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from orelayer.functions import columns as C
 from orelayer.functions import skew
-from orelayer.operators import digests, frames, gold, history, keyed, quality, silver, synth, version_store
+from orelayer.operators import digests, frames, gold, history, keyed, maintained, quality, silver, sketches, synth, version_store
 from orelayer.plans import build
 from orelayer.plans.bindings import Source, accounts_after, accounts_before
 from orelayer.session import shared_dir, written
 from orelayer.sources import readers, sinks
-from orelayer.streaming import changes, corrections, landing
+from orelayer.streaming import changes, corrections, landing, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1079,3 +1079,50 @@ def stream_history_corrected(source):
         rows = corrections.corrected_history(arriving, EVENT_KEYS, EVENT_STATE, EVENT_ORDER, NOW, deleted=F.col("event_type") == "error")
         landing.append_files(rows, f"{root}/history", f"{root}/checkpoint").awaitTermination()
     return corrections.standing(source.spark.read.schema(rows.schema).parquet(f"{root}/history"))
+
+
+@query
+def stream_landing_unique(source):
+    """Events in six micro-batches, each event in two of them, with filters so small that most are forgotten: each event lands once."""
+    root = shared_dir(source.spark, "unique")
+    events = money_columns(source.given("events"), "value")
+    events.repartition(3, "event_id").write.parquet(f"{root}/in")
+    events.repartition(3, "user_id").write.mode("append").parquet(f"{root}/in")
+    with changes.rocksdb_state(source.spark):
+        arriving = landing.read_arriving(source.spark, f"{root}/in", events.schema, files_per_batch=1)
+        repeats.land_unique(arriving, root, "events", f"{root}/checkpoint", "ts", capacity=8, generations=2).awaitTermination()
+    return source.spark.read.parquet(f"{root}/staging/br_events").drop("batch_id")
+
+
+@query
+def rollup_maintained(source):
+    """The fact's rollup from three batches: early rentals with wrong amounts, their corrections before the rest, and the rest."""
+    rows = written(facts(source).select("rental_year", "rental_quarter", "rental_month", "revenue_amount", "is_weekend_rental"), "facts")
+    early = rows.where(F.col("rental_year") <= 1997)
+    wrong = early.withColumn("revenue_amount", (F.col("revenue_amount") - 100_000_000).cast(C.TOTAL))
+    kept = maintained.MaintainedRollup(
+        source.spark, shared_dir(source.spark, "rollup"), "rentals", rows.columns[:3], ["revenue_amount"], ["is_weekend_rental"], ["revenue_amount"]
+    )
+    kept.apply(wrong, "first")
+    kept.apply(wrong.withColumn("sign", F.lit(-1)).unionByName(early.withColumn("sign", F.lit(1))), "second", F.col("sign"))
+    kept.apply(rows.where(~F.coalesce(F.col("rental_year") <= 1997, F.lit(False))), "third")
+    return kept.read().withColumnsRenamed({"revenue_amount": "revenue", "rows": "rentals", "is_weekend_rental": "weekend_rentals"})
+
+
+@query
+def sketch_profile(source):
+    """Orders in three batches, profiled from their sketches alone: exact figures, and whether estimates keep their bounds."""
+    orders = money_columns(source.given("orders"), "o_totalprice").select("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    root, year = shared_dir(source.spark, "sketches"), F.year("o_orderdate")
+    for name, part in (("a", year < 1997), ("b", (year >= 1997) & (year < 2000)), ("c", year >= 2000)):
+        sketches.keep(orders.where(part), root, "orders", name)
+    found = written(sketches.profile_of(source.spark.read.parquet(f"{root}/sketches/orders"), "orders"), "sketch-profile")
+    exact = quality.profile(orders, "orders", exact=True).select("column_name", "distinct_count")
+    heavy = found.where("column_name = 'o_orderpriority'").select(F.explode("heavy").alias("h"), "slack").select("h.*", "slack")
+    counts = orders.groupBy(F.col("o_orderpriority").alias("value")).agg(F.count(F.lit(1)).alias("whole"))
+    within = counts.join(heavy, "value", "left").agg(F.every((F.col("n") <= F.col("whole")) & (F.col("whole") <= F.col("n") + F.col("slack"))).alias("heavy_close"))
+    middle = found.where("column_name = 'o_totalprice'").select(F.get("quantiles", F.lit(1))).scalar()
+    share = orders.agg(F.avg((F.col("o_totalprice") <= middle).cast("int")).alias("share"))
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.greatest(F.lit(1.0), 0.07 * F.col("distinct_count"))
+    told = found.join(exact, "column_name").select("column_name", "row_count", "null_count", "min_value", "max_value", near.alias("distinct_close"))
+    return told.withColumns({"median_close": (F.abs(share.scalar() - 0.5) <= 0.015), "heavy_close": within.scalar()})

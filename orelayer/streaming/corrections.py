@@ -22,6 +22,12 @@ from pyspark.sql.types import StructType
 
 from orelayer.functions.columns import clock, nested_columns, record_hash, stable_uuid
 
+# Values pass through the state as JSON, with every digit of a time.
+JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 FIELDS = ["at", "seq", "hash", "body", "gone"]
 
 
@@ -121,7 +127,7 @@ def corrected_history(
         F.unix_micros(F.col(at).cast("timestamp")).alias("at"),
         F.col(seq).cast(kind).alias("seq"),
         record_hash(list(tracked), nested=[c for c in nested_columns(changes) if c in tracked]).alias("hash"),
-        F.to_json(F.struct(*tracked), {"ignoreNullFields": "false"}).alias("body"),
+        F.to_json(F.struct(*tracked), JSON).alias("body"),
         gone.alias("gone"),
     )
     rows = rows.withWatermark("event_time", horizon) if horizon else rows
@@ -133,7 +139,7 @@ def corrected_history(
         outputMode="append",
         timeMode="eventTime" if horizon else "none",
     )
-    values = F.from_json("body", StructType([changes.schema[c] for c in tracked]))
+    values = F.from_json("body", StructType([changes.schema[c] for c in tracked]), JSON)
     shown = found.withColumn("values", values).select(
         *[F.col(n).alias(k) for n, k in zip(names, keys)],
         *[F.col(f"values.{c}").alias(c) for c in tracked],
