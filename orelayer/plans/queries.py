@@ -98,9 +98,9 @@ def sl_inventory(source):
 
 
 def enriched(source: Source) -> DataFrame:
-    """Rentals with film, store and payments. The copies are counted from the footers of what was written; beyond the
+    """Rentals with film, store and payments. There are at most as many copies as parts, counted from footers; beyond the
     bound of a broadcast the rentals are stored before they are looked up."""
-    copies = source.inventory().count()
+    copies = source.rows("part")
     rental = stored_if(copies > skew.SMALL, source.rental(), "rental")
     return silver.sl_rental_enriched(rental, source.inventory(), source.paid(), NOW, inventory_rows=copies)
 
@@ -217,13 +217,13 @@ def overdue_returns(source):
 
 @query
 def top_films_by_revenue(source):
-    revenue = gold.revenue_by_film(source.film(), source.inventory(), source.rental(), source.payment())
+    revenue = gold.revenue_by_film(source.film(), source.inventory(), source.rental(), source.paid())
     return frames.top_by(revenue, "total_revenue", "film_id", 10)
 
 
 @query
 def customer_value(source):
-    value = gold.customer_value(source.customer(), source.rental(), source.payment())
+    value = gold.customer_value(source.customer(), source.rental(), source.paid())
     return value.orderBy(F.desc_nulls_last("lifetime_value"), "customer_id")
 
 
