@@ -15,7 +15,7 @@ from orelayer.operators import digests, frames, gold, history, keyed, maintained
 from orelayer.plans import build
 from orelayer.plans.bindings import Source, accounts_after, accounts_before
 from orelayer.session import shared_dir, written
-from orelayer.sources import readers, sinks
+from orelayer.sources import ranges, readers, sinks
 from orelayer.streaming import changes, corrections, landing, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1126,3 +1126,14 @@ def sketch_profile(source):
     near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.greatest(F.lit(1.0), 0.07 * F.col("distinct_count"))
     told = found.join(exact, "column_name").select("column_name", "row_count", "null_count", "min_value", "max_value", near.alias("distinct_close"))
     return told.withColumns({"median_close": (F.abs(share.scalar() - 0.5) <= 0.015), "heavy_close": within.scalar()})
+
+
+@query
+def even_ranges(source):
+    """Lines in ranges of their part, a few parts of which have most lines, cut by order: rows by whether each lies in one range and sizes are even."""
+    lines = source.given("lineitem").select("l_orderkey", F.floor(F.pow(F.col("l_partkey") + 1, 0.5)).cast("bigint").alias("part"))
+    found = ranges.even_ranges(lines, "part", 12, then="l_orderkey", rows=source.rows("lineitem"))
+    tagged = lines.withColumn("range", ranges.range_of(found)).groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.sum("n").alias("rows")
+    even = F.max("n") <= 1.25 * F.sum("n") / len(found)
+    return tagged.agg(whole, F.every(F.col("range").isNotNull()).alias("every_row_in_a_range"), even.alias("even"), (F.count(F.lit(1)) == len(found)).alias("none_empty"))
