@@ -758,3 +758,4 @@ ORACLE["rollup_maintained"] = rental(
 ORACLE["sketch_profile"] = f"""SELECT column_name, row_count, null_count, min_value, max_value, true AS distinct_close, true AS median_close,
   true AS heavy_close FROM ({PROFILE}) WHERE column_name IN ('o_custkey', 'o_orderdate', 'o_orderpriority', 'o_totalprice')"""
 ORACLE["even_ranges"] = "SELECT count(*) AS rows, true AS every_row_in_a_range, true AS even, true AS none_empty FROM lineitem"
+ORACLE["bulk_load_resumed"] = f"SELECT o_orderkey, o_custkey, {dec('o_totalprice')} AS total FROM orders"

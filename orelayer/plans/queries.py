@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from orelayer.operators import digests, frames, gold, history, keyed, maintained
 from orelayer.plans import build
 from orelayer.plans.bindings import Source, accounts_after, accounts_before
 from orelayer.session import shared_dir, written
-from orelayer.sources import ranges, readers, sinks
+from orelayer.sources import bulk, ranges, readers, sinks
 from orelayer.streaming import changes, corrections, landing, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1137,3 +1138,19 @@ def even_ranges(source):
     whole = F.sum("n").alias("rows")
     even = F.max("n") <= 1.25 * F.sum("n") / len(found)
     return tagged.agg(whole, F.every(F.col("range").isNotNull()).alias("every_row_in_a_range"), even.alias("even"), (F.count(F.lit(1)) == len(found)).alias("none_empty"))
+
+
+@query
+def bulk_load_resumed(source):
+    """Orders loaded in chunks; the first run fails at its last order and the second goes on after the chunks it kept."""
+    orders = source.given("orders").select("o_orderkey", "o_custkey", C.money("o_totalprice").alias("total"))
+    path = f"{shared_dir(source.spark, 'bulk')}/orders"
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    try:
+        bulk.bulk_load(orders, path, ["o_orderkey"], partitions=4, commit_every=100, must_hold=F.col("o_orderkey") != last)
+        raise AssertionError("the first run should end at its last order")
+    except PySparkException as ended:
+        if "refused" not in str(ended):
+            raise
+    bulk.bulk_load(orders, path, ["o_orderkey"], partitions=4, commit_every=100)
+    return bulk.loaded(source.spark, path, orders.schema)
