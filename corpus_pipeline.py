@@ -14,7 +14,7 @@ from orelayer.session import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that makes up half of them, go."""
+    """Documents without a letter, or whose languages with a tenth of the text or more make up less than half together, go."""
     return language.keep_identified(docs, language.learn(docs, F.lit(True)))
 
 

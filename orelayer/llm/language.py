@@ -191,13 +191,17 @@ def identify(docs: DataFrame, languages: Languages, ident: str = "doc_id", text:
     return found.withColumnRenamed("id", ident)
 
 
-def keep_identified(docs: DataFrame, languages: Languages, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language that makes up ``least`` of it. Nothing is shuffled."""
+def keep_identified(docs: DataFrame, languages: Languages, least: float = 0.5, part: float = 0.1, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose languages of a share of ``part`` or more make up ``least`` of the text together.
+
+    So a text in several languages stays; one without a letter, or without evidence for any language in particular, goes. Nothing is shuffled.
+    """
     place = docs.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, _ = _judged(batch.column(place).to_pylist(), languages)
-            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score)], pa.bool_()))
+            pred, _, shares = _judged(batch.column(place).to_pylist(), languages)
+            known = [p != UNKNOWN and sum(s for s in own.values() if s >= part) >= least for p, own in zip(pred, shares)]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

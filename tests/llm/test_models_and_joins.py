@@ -56,7 +56,20 @@ def test_a_mixture_has_two_languages_and_its_proportions(spark):
     assert got[1].score == pytest.approx(0.75, abs=0.08)
     assert got[2].shares == {"en": pytest.approx(1.0)}
     kept = language.keep_identified(mixed, languages, least=0.9)
-    assert [r.doc_id for r in kept.collect()] == [2] and kept.columns == mixed.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == mixed.columns
+
+
+def test_a_text_in_three_languages_stays_and_one_without_letters_goes(spark):
+    """No language has half of it, yet all of it is identified."""
+    rng = random.Random(9)
+    words = [vocabulary(rng, letters) for letters in ("etaoinshr", "uvwxyzkqj", "bcdfgmpüä")]
+    rows = [(i, sentence(rng, words[i % 3], 200), "abc"[i % 3], "a") for i in range(90)]
+    languages = language.learn(frame(spark, rows), F.lit(True))
+    mixed = " ".join(sentence(rng, w, n) for w, n in zip(words, (160, 120, 120)))
+    docs = frame(spark, [(1, mixed, None, "a"), (2, "12 34 !!", None, "a"), (3, None, None, "a"), (4, sentence(rng, words[0], 50), None, "a")])
+    shares = {r.doc_id: r.shares for r in language.identify(docs, languages).collect()}[1]
+    assert len(shares) == 3 and max(shares.values()) < 0.5
+    assert sorted(r.doc_id for r in language.keep_identified(docs, languages).collect()) == [1, 4]
 
 
 def test_a_long_text_is_judged_as_its_parts_together(spark, monkeypatch):
