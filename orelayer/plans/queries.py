@@ -847,7 +847,7 @@ def stream_late_rows(source):
     events = money_columns(source.given("events"), "value")
     for recent in (True, False):
         part = events.where((F.col("ts") >= C.clock("2024-01-20 00:00:00")) == recent)
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        part.write.mode("append").parquet(f"{root}/in")
         arriving = landing.read_arriving(source.spark, f"{root}/in", events.schema)
         landing.land_arriving(
             arriving, root, "events", f"{root}/checkpoint", NOW, name="stream", text=False, late=("ts", "7 days")
