@@ -1,8 +1,8 @@
 """Token counts by byte-pair merging over a heap and a linked list: no token ids are made.
 
 A piece starts as its bytes. The adjacent pair of lowest rank is popped and merged again and again; the count is the
-bytes less the merges. Pieces repeat, so each worker remembers the counts of those it met, up to a fixed number, and
-forgets them all when that is reached: memory is bounded and the counts are the same.
+bytes less the merges. Short pieces repeat, so each worker remembers the counts of those it met, up to a fixed number of bytes, and
+forgets them all when that is reached; long pieces are not remembered. So memory is bounded, but for the longest piece itself, and the counts are the same.
 
 Defined results: null counts as empty text, empty text has 0 tokens; rows keep their id, null or repeated; the text of
 an added token is one token wherever it stands, as the library has it by default; the time for a piece of n bytes is
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 # How the library splits text before merging. \s is Unicode's White_Space; the second form is the same for ASCII.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-REMEMBERED = 400_000
+# Bytes of memory for remembered pieces, about what one takes besides its characters, and characters of the longest one remembered.
+REMEMBERED, OVERHEAD, SHORT = 64_000_000, 150, 100
 # Longer texts are split piece by piece, so that their pieces are never all in memory.
 LONG = 1_000_000
 
@@ -42,6 +43,7 @@ class Merges(dict):
 
     def __init__(self, specification: str):
         super().__init__()
+        self.held = 0
         spec = json.loads(specification)
         ids = {**byte_characters()}
         self.ranks: dict[int, tuple[int, int]] = {}
@@ -54,9 +56,13 @@ class Merges(dict):
         self.split, self.ascii_split = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = count = self.merged(piece.encode("utf-8"))
+        count = self.merged(piece.encode("utf-8"))
+        if len(piece) <= SHORT:
+            self.held += OVERHEAD + len(piece)
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = OVERHEAD + len(piece)
+            self[piece] = count
         return count
 
     def merged(self, piece: bytes) -> int:

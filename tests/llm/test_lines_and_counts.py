@@ -120,10 +120,15 @@ def test_counts_equal_the_library(spark, docs):
 
 
 def test_remembered_counts_are_bounded(monkeypatch):
-    monkeypatch.setattr(token_counts, "REMEMBERED", 10)
+    """By bytes, and without long pieces; counts are those of a counter that remembers all."""
+    texts = [" ".join("ab" * i for i in range(1, 80)), "ab" * 100_000, " ".join("ba" * i for i in range(80, 0, -1))]
+    whole = [token_counts.Merges(json.dumps(SPECIFICATION)).tokens(t) for t in texts]
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3000)
     counter = token_counts.Merges(json.dumps(SPECIFICATION))
-    assert counter.tokens(" ".join("ab" * i for i in range(1, 60))) > 0
-    assert len(counter) <= 10
+    for text, count in zip(texts, whole):
+        assert counter.tokens(text) == count
+        assert sum(token_counts.OVERHEAD + len(p) for p in counter) == counter.held <= 3000
+        assert max(map(len, counter), default=0) <= token_counts.SHORT
 
 
 def plain_quality(text):
