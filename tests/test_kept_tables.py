@@ -129,3 +129,18 @@ def test_trees_of_different_depth_and_empty_snapshots(spark, tmp_path):
     for old, new, left, right in (("small", "large", small, large), ("none", "small", small.limit(0), small), ("large", "none", large, small.limit(0))):
         assert contents(store.diff(old, new, NOW)) == contents(history.snapshot_diff(left, right, ["k"], new, NOW))
     assert store.compare("large", "again")[0] == [] and store.diff("large", "again", NOW).count() == 0
+
+
+def test_small_ranges_share_folders(spark, tmp_path, monkeypatch):
+    """Folders follow the size of the table, not that of a range; ranges that differ are found in them, named or joined."""
+    old = spark.range(3000).selectExpr("id AS k", "id % 5 AS v")
+    store = snapshots(spark, tmp_path, rows_per_range=2)
+    for folder_rows, named in ((1_000_000, 100), (400, 0)):
+        monkeypatch.setattr("orelayer.operators.digests.ROWS_PER_FOLDER", folder_rows)
+        monkeypatch.setattr("orelayer.operators.digests.NAMED_RANGES", named)
+        store.write(old, "old")
+        for name, changed in (("few", F.col("k") < 3), ("many", F.col("k") % 3 == 0)):
+            new = old.withColumn("v", F.when(changed, F.col("v") + 1).otherwise(F.col("v")))
+            store.write(new, name)
+            assert len(list((tmp_path / name / "rows").glob("*=*"))) <= 16
+            assert contents(store.diff("old", name, NOW)) == contents(history.snapshot_diff(old, new, ["k"], name, NOW))
