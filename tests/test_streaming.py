@@ -178,3 +178,16 @@ def test_nested_values_keep_their_types(spark, tmp_path):
         landing.append_files(out, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).orderBy("effective_time").collect()
     assert [r.tags for r in got] == [["a, b"], ["a", "b"], [None], ["null"]]
+
+
+def test_state_stores_reserve_no_disk(spark):
+    """Stores for many partitions would reserve megabytes each; the session's own choice comes back afterwards."""
+    reserves = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+    before = spark.conf.get(reserves, None)
+    spark.conf.set(reserves, "true")
+    try:
+        with changes.rocksdb_state(spark):
+            assert spark.conf.get(reserves) == "false"
+        assert spark.conf.get(reserves) == "true"
+    finally:
+        spark.conf.unset(reserves) if before is None else spark.conf.set(reserves, before)
