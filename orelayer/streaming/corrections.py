@@ -5,6 +5,9 @@ event time, with what each of them counted as. A row that arrives late is put in
 it counts as, the old history row is taken back (``sign`` -1) and the new one given (+1). After any order of arrival the rows that
 stand are the history of the ordered run.
 
+Without a horizon state is grouped by buckets of keys, with one entry for each key, so that a micro-batch costs one read and one write
+for a key that has new rows, however many rows it keeps.
+
 State is bounded by ``horizon``: event-time timers fold the rows that the watermark has passed into one, the state that later
 rows start from. Rows that come later than the horizon are then past correction, and Spark leaves them out: land them beside the table
 first (``late`` of :func:`orelayer.streaming.landing.land_arriving`). Without a horizon nothing is folded and no row is left out.
@@ -12,13 +15,14 @@ first (``late`` of :func:`orelayer.streaming.landing.land_arriving`). Without a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from orelayer.functions.columns import clock, nested_columns, record_hash, stable_uuid
 
@@ -29,6 +33,10 @@ JSON = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 FIELDS = ["at", "seq", "hash", "body", "gone"]
+# Rows of a bucket that are held before they are applied.
+HELD = 100_000
+# Stands for no whole number: with an empty one a whole column would lose its digits on the way into a processor.
+NO_NUMBER = -(1 << 63)
 
 
 def operations(rows: list[tuple], base: tuple | None) -> list[tuple]:
@@ -45,6 +53,23 @@ def operations(rows: list[tuple], base: tuple | None) -> list[tuple]:
     return found
 
 
+def placed(before: dict[tuple, tuple], arrived: Iterable[tuple], base: tuple | None) -> tuple[list[tuple], list[tuple]]:
+    """Rows that arrived put among those ``before``, by their places: all rows with what they count as, and signed corrections."""
+    merged = {at: r[:5] for at, r in before.items()}
+    for row in arrived:
+        merged.setdefault(row[:2], row)
+    ordered = [merged[at] for at in sorted(merged)]
+    counted = operations(ordered, base)
+    out = []
+    for row, (operation, shown) in zip(ordered, counted):
+        old = before.get(row[:2])
+        told = (old[5], old[6] if old[5] else "") if old else ("", "")
+        if told == (operation, shown if operation else ""):
+            continue
+        out += [(*row[:2], op, body, sign) for (op, body), sign in ((told, -1), ((operation, shown), 1)) if op]
+    return [(*row, *told) for row, told in zip(ordered, counted)], out
+
+
 class Corrections(StatefulProcessor):
     """Per key its rows in order of event time, each with what it counted as when it was last looked at.
 
@@ -62,24 +87,13 @@ class Corrections(StatefulProcessor):
         held = [tuple(r) for r in self.rows.get()]
         base = held[0] if held and held[0][7] else None
         before = {r[:2]: r for r in held if not r[7]}
-        merged = {at: r[:5] for at, r in before.items()}
-        for frame in rows:
-            for row in zip(*(frame[c].tolist() for c in FIELDS)):
-                merged.setdefault(row[:2], row)
-        ordered = [merged[at] for at in sorted(merged)]
-        counted = operations(ordered, base)
-        out = []
-        for row, (operation, shown) in zip(ordered, counted):
-            old = before.get(row[:2])
-            told = (old[5], old[6] if old[5] else "") if old else ("", "")
-            if told == (operation, shown if operation else ""):
-                continue
-            out += [(*row[:2], op, body, sign) for (op, body), sign in ((told, -1), ((operation, shown), 1)) if op]
+        arrived = (row for frame in rows for row in zip(*(frame[c].tolist() for c in FIELDS)))
+        ordered, out = placed(before, arrived, base)
         if self.timed:
             known = {r[0] for r in before.values()}
             for at in {r[0] for r in ordered} - known:
                 self.handle.registerTimer(at // 1000 + 1)
-        self._keep(base, [(*row, *told, False) for row, told in zip(ordered, counted)])
+        self._keep(base, [(*row, False) for row in ordered])
         yield from self._given(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -103,6 +117,40 @@ class Corrections(StatefulProcessor):
         pass
 
 
+class BucketCorrections(StatefulProcessor):
+    """As :class:`Corrections` without a horizon, for a bucket of keys: the rows of a key are one entry of a map."""
+
+    def init(self, handle) -> None:
+        self.rows = handle.getMapState("rows", "name string", "held binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived: dict[str, list[tuple]] = {}
+        count = 0
+        for frame in rows:
+            for name, *row in zip(*(frame[c].tolist() for c in ["name", *FIELDS])):
+                arrived.setdefault(name, []).append(tuple(row))
+            count += len(frame)
+            if count >= HELD:
+                yield from self._applied(arrived)
+                arrived, count = {}, 0
+        yield from self._applied(arrived)
+
+    def _applied(self, arrived: dict[str, list[tuple]]) -> Iterator[pd.DataFrame]:
+        found = []
+        for name, new in arrived.items():
+            known = self.rows.getValue((name,)) if self.rows.containsKey((name,)) else None
+            held = pickle.loads(known[0]) if known else []
+            ordered, out = placed({r[:2]: r for r in held}, new, None)
+            if len(ordered) > len(held):  # otherwise all of them arrived before
+                self.rows.updateValue((name,), (pickle.dumps(ordered),))
+            found += [(name, *r) for r in out]
+        if found:
+            yield pd.DataFrame(found, columns=["name", "at", "seq", "operation_type", "body", "sign"])
+
+    def close(self) -> None:
+        pass
+
+
 def corrected_history(
     changes: DataFrame,
     keys: Sequence[str],
@@ -112,11 +160,13 @@ def corrected_history(
     *,
     deleted: Column | None = None,
     horizon: str | None = None,
+    buckets: int = 4096,
 ) -> DataFrame:
     """History rows with ``sign``: 1 for a row that is given, -1 for one that is taken back.
 
     ``order`` is a time and one column, whole numbers or text, that tells the rows of a key apart: a row that arrives again
     changes nothing. Where ``deleted`` holds a row ends its key. ``horizon`` such as ``"7 days"`` is how late a row may come.
+    Without it keys are dealt over ``buckets``, which may not change while the checkpoint is in use.
     """
     at, seq = order
     gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
@@ -130,15 +180,35 @@ def corrected_history(
         F.to_json(F.struct(*tracked), JSON).alias("body"),
         gone.alias("gone"),
     )
-    rows = rows.withWatermark("event_time", horizon) if horizon else rows
     names = [f"k{i}" for i in range(len(keys))]
-    told = ", ".join(f"{n} {changes.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
-    found = rows.groupBy(*names).transformWithStateInPandas(
-        statefulProcessor=Corrections(kind, bool(horizon)),
-        outputStructType=StructType.fromDDL(f"{told}, at bigint, seq {kind}, operation_type string, body string, sign int"),
-        outputMode="append",
-        timeMode="eventTime" if horizon else "none",
-    )
+    given = f"at bigint, seq {kind}, operation_type string, body string, sign int"
+    if horizon:
+        told = ", ".join(f"{n} {changes.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
+        found = rows.withWatermark("event_time", horizon).groupBy(*names).transformWithStateInPandas(
+            statefulProcessor=Corrections(kind, True),
+            outputStructType=StructType.fromDDL(f"{told}, {given}"),
+            outputMode="append",
+            timeMode="eventTime",
+        )
+    else:
+        numbers = ["at", "seq"] if kind == "bigint" else ["at"]
+        dealt = rows.select(
+            F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int").alias("bucket"),
+            F.to_json(F.struct(*names), JSON).alias("name"),
+            *[F.coalesce(c, F.lit(NO_NUMBER)).alias(c) if c in numbers else F.col(c) for c in FIELDS],
+        )
+        found = dealt.groupBy("bucket").transformWithStateInPandas(
+            statefulProcessor=BucketCorrections(),
+            outputStructType=StructType.fromDDL(f"name string, {given}"),
+            outputMode="append",
+            timeMode="none",
+        )
+        kinds = StructType([StructField(n, changes.schema[k].dataType) for n, k in zip(names, keys)])
+        named = F.from_json("name", kinds, JSON)
+        found = found.select(
+            *[named[n].alias(n) for n in names], *[F.nullif(F.col(c), F.lit(NO_NUMBER)).alias(c) for c in numbers],
+            *[c for c in found.columns if c != "name" and c not in numbers],
+        )
     values = F.from_json("body", StructType([changes.schema[c] for c in tracked]), JSON)
     shown = found.withColumn("values", values).select(
         *[F.col(n).alias(k) for n, k in zip(names, keys)],

@@ -116,3 +116,64 @@ def test_a_shuffled_stream(spark, tmp_path):
     assert every.where("sign = -1").count() > 0
     standing = corrections.standing(every).select(want.columns)
     assert Counter(map(tuple, standing.collect())) == Counter(map(tuple, want.collect()))
+
+
+class Entries:
+    """Map state as the processor sees it, with the calls it takes."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_buckets_of_keys_stand_as_their_ordered_histories(monkeypatch):
+    """A key costs a read and a write a micro-batch, however many rows it has; cut input and repeats change nothing."""
+    rng = random.Random(5)
+    feeds = {name: feed(rng, 40) for name in ("x", "y", "z")}
+    kept, stands = Entries(), Counter()
+    processor = corrections.BucketCorrections()
+    processor.init(kept)
+    for held in (1000, 7):
+        monkeypatch.setattr(corrections, "HELD", held)
+        for low in range(0, 40, 10):
+            arrived = [(name, *row) for name, rows in feeds.items() for row in rows[low : low + 10]]
+            rng.shuffle(arrived)
+            frames = [pd.DataFrame(arrived[n : n + 5], columns=["name", *corrections.FIELDS]) for n in range(0, len(arrived), 5)]
+            before = kept.calls
+            for f in processor.handleInputRows((1,), iter(frames), None):
+                for name, *row, sign in f.itertuples(index=False):
+                    stands[name, *row] += sign
+            assert held < 1000 or kept.calls - before <= 6
+            if held == 1000:
+                assert +stands == Counter((name, *r) for name, rows in feeds.items() for r in plain_history(rows[: low + 10]))
+    assert +stands == Counter((name, *r) for name, rows in feeds.items() for r in plain_history(rows))
+
+
+def test_a_shuffled_stream_by_buckets(spark, tmp_path):
+    """Keys of two columns, one of them null; numbers beside an empty one keep their digits."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, (1 << 53) + 1]), rng.choice("pq"), f"2024-01-{rng.randint(1, 9):02d} 00:00:00", (1 << 53) + i, rng.choice("ab")) for i in range(120)]
+    rows = spark.createDataFrame(rows, "user_id bigint, part string, ts string, event_id bigint, state string")
+    events = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.repartition(3, "event_id").write.parquet(f"{tmp_path}/in")
+    args = (["user_id", "part"], ["state"], ["ts", "event_id"], NOW)
+    want = history.history_from_changes(spark.read.parquet(f"{tmp_path}/in"), *args)
+    with changes.rocksdb_state(spark):
+        arriving = landing.read_arriving(spark, f"{tmp_path}/in", events.schema, files_per_batch=1)
+        got = corrections.corrected_history(arriving, *args, buckets=2)
+        landing.append_files(got, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    standing = corrections.standing(spark.read.schema(got.schema).parquet(f"{tmp_path}/out")).select(want.columns)
+    assert Counter(map(tuple, standing.collect())) == Counter(map(tuple, want.collect()))
