@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orelayer.llm import components, decontaminate, grams, hashing, jaccard, language, substring, toxicity
 from orelayer.llm.queries import QUERIES
+from orelayer.llm.scratch import Scratch
 from orelayer.llm.text import held_out, table
 from tests.llm.rows import ENGLISH, FOLD, GERMAN, WORD, frame, odd_documents, sentence, vocabulary
 from tests.llm.rows import held_out as plain_held_out
@@ -515,3 +517,24 @@ def test_pieces_are_spread_over_the_whole_text():
     found = toxicity.spread(text, settings).split()
     assert found[0] == "1000" and found[-1] == "2999" and set(found) <= set(text.split())
     assert toxicity.spread("ab cd", settings) == "ab cd"
+
+
+def test_only_seeds_of_several_documents_are_written(spark):
+    rng = random.Random(21)
+    words = vocabulary(rng, ENGLISH, 3000)
+    shared = sentence(rng, words, 60)
+    texts = [f"{sentence(rng, words, 80)} {shared if i < 2 else ''} {sentence(rng, words, 80)}" for i in range(6)]
+    rows = [(i, text, None) for i, text in enumerate([*texts, texts[5]])] + [(5, texts[5], None)]
+    rows = [r for r in rows if r[0] != 6]  # the id 5 comes twice and is one document
+    body = spark.createDataFrame(rows, "id bigint, text string, known array<struct<start:int,end:int>>")
+    settings, holders = substring.Passages(), defaultdict(set)
+    every = substring._short_seeds(body, settings).collect()
+    for r in every:
+        holders[r.key].add(r.id)
+    scratch = Scratch(spark, "seeds-test")
+    got = {tuple(r) for r in substring._several(body, settings, scratch).collect()}
+    assert got == {tuple(r) for r in every if len(holders[r.key]) > 1} and got
+    names = [path.name.partition("-")[2] for path in Path(scratch.root.removeprefix("file:")).iterdir()]
+    assert sum(spark.read.parquet(str(path)).count() for path in Path(scratch.root.removeprefix("file:")).iterdir()) < len(every)
+    assert sorted(names) == ["several", "short"]
+    scratch.drop()
