@@ -538,3 +538,41 @@ def test_only_seeds_of_several_documents_are_written(spark):
     assert sum(spark.read.parquet(str(path)).count() for path in Path(scratch.root.removeprefix("file:")).iterdir()) < len(every)
     assert sorted(names) == ["several", "short"]
     scratch.drop()
+
+
+@pytest.mark.parametrize("others", [20, 150])
+def test_a_changed_passage_around_a_frequent_line_is_found_between_other_holders(spark, others):
+    """All seeds that the two share are in the line that the others have as well: by first and last holder they never meet."""
+    rng = random.Random(31)
+    words = vocabulary(rng, ENGLISH, 4000)
+    line, before, after = sentence(rng, words, 14).split(), sentence(rng, words, 25).split(), sentence(rng, words, 25).split()
+    changed = lambda text, mark: [f"{mark}{n}" if n % 5 == 0 else w for n, w in enumerate(text)]
+    fill = lambda low, high: sentence(rng, words, rng.randint(low, high))
+    rows = [(i if i < others // 2 else 1000 + i, f"{fill(60, 90)} {' '.join(line)} {fill(60, 90)}", "en", "a") for i in range(others)]
+    for ident, mark in ((500, "one"), (501, "other")):
+        passage = " ".join([*changed(before[::-1], mark)[::-1], *line, *changed(after, mark)])
+        rows.append((ident, f"{fill(60, 90)} {passage} {fill(60, 90)}", "en", "a"))
+    got = {r.doc_id: r for r in substring.find_passages(frame(spark, rows)).collect()}
+    assert set(got) == {500, 501}
+    assert all(51 <= r.repeated_words <= 66 for r in got.values())
+
+
+def test_tiles_find_what_alignment_of_every_pair_finds():
+    rng, settings = np.random.default_rng(3), substring.Passages()
+    side = settings.min_words - settings.k
+    rows = rng.integers(1, 60, (24, 2 * side + settings.k)).astype(np.uint32)
+    rows[:, side - 6 : side + 8] = np.arange(100, 114)
+    for n in range(1, 24, 2):  # a copy of the one before, with changes that may be too many
+        rows[n] = np.where(rng.random(rows.shape[1]) < rng.uniform(0.1, 0.4), rng.integers(1000, 2000, rows.shape[1]), rows[n - 1])
+        rows[n, side : side + settings.k] = rows[n - 1, side : side + settings.k]
+    rows[4, : side - 10] = rows[5, : side - 10] = 0
+    other = ~np.eye(24, dtype=bool)
+    truth = set()
+    for n, m in zip(*np.nonzero(other)):
+        a, b = rows[n], rows[m]
+        chain = [(side - int((a[:side] == 0).sum()), side - int((b[:side] == 0).sum()))]
+        if substring.dense(*substring.align(chain, a[a != 0], b[b != 0], settings), settings):
+            truth.add((int(n), int(m)))
+    got = substring.met(rows, rows, settings, other)
+    assert set(got) <= truth and {n for n, _ in got} == {n for n, _ in truth}
+    assert 0 < len(got) < 24
