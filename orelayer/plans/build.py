@@ -3,18 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from orelayer.functions.columns import stamp_batch
 from orelayer.operators import gold, quality, silver
 from orelayer.sources.sinks import LOG_SCHEMA, append_log, log_entries, read_batch, write_batch
 
 BUILD_SCHEMA = "tenant string, layer string, table_name string, row_count bigint"
+# So many tables are written side by side: one table's last tasks, and tables of a task or two, leave no cores idle.
+SIDE_BY_SIDE = 4
+
+
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """Run jobs that do not need each other side by side, started in the order given; their results in that order.
+
+    Jobs that have not begun when one fails are not begun; the error of the first failed one in order is raised once the others have ended.
+    """
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        try:
+            return [job.result() for job in running]
+        except BaseException:
+            pool.shutdown(wait=True, cancel_futures=True)
+            raise
 
 
 def land(
@@ -25,11 +43,15 @@ def land(
     schema: str = "staging",
     text: bool = True,
 ) -> dict[str, int]:
-    """Land source tables as ``br_<table>``; one pass per table stamps, hashes, writes and counts it."""
-    return {
-        name: write_batch(stamp_batch(df, name, batch_id, load_time, text=text), root, schema, f"br_{name}", batch_id)
-        for name, df in tables.items()
-    }
+    """Land source tables as ``br_<table>``, side by side; one pass per table stamps, hashes, writes and counts it."""
+
+    def one(name: str) -> int:
+        return write_batch(stamp_batch(tables[name], name, batch_id, load_time, text=text), root, schema, f"br_{name}", batch_id)
+
+    if not tables:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    return dict(zip(tables, together(spark, *[partial(one, name) for name in tables])))
 
 
 def land_logged(
@@ -80,9 +102,17 @@ class Warehouse:
 
     def put(self, schema: str, name: str, df: DataFrame) -> DataFrame:
         """Write a table of a layer and go on from what was written."""
-        rows = write_batch(df, self.root, schema, name, self.batch_id)
-        self.written.append((schema, name, rows))
-        return self.read(schema, name)
+        return self.put_all(schema, {name: lambda: df})[0]
+
+    def put_all(self, schema: str, tables: Mapping[str, Callable[[], DataFrame]]) -> list[DataFrame]:
+        """As :meth:`put`, for tables of a layer that are not made from each other: they are written side by side."""
+
+        def write(name: str) -> int:
+            return write_batch(tables[name](), self.root, schema, name, self.batch_id)
+
+        counts = together(self.spark, *[partial(write, name) for name in tables])
+        self.written += [(schema, name, rows) for name, rows in zip(tables, counts)]
+        return [self.read(schema, name) for name in tables]
 
     def land(self, tables: Mapping[str, DataFrame], text: bool = True) -> None:
         for name, rows in land(tables, self.root, self.batch_id, self.now, text=text).items():
@@ -102,15 +132,19 @@ def build(warehouse: Warehouse, sources: Mapping[str, DataFrame], as_of: str) ->
     w, now = warehouse, warehouse.now
     w.land(sources)
 
-    put = partial(w.put, "silver")
-    inventory = put("sl_inventory", silver.sl_inventory(w.bronze("inventory"), now))
-    bronze = [w.bronze(name) for name in ("rental", "inventory", "payment")]
     copies = w.rows("staging", "br_inventory")
-    rentals = put("sl_rental_enriched", silver.sl_rental_enriched(*bronze, now, inventory_rows=copies))
-    film = put("sl_film", silver.sl_film(w.bronze("film"), now, silver.film_metrics(rentals)))
-    language = put("sl_language", silver.sl_language(w.bronze("language"), now))
-    customer = put("sl_customer", silver.sl_customer(w.bronze("customer"), now))
-    staff = put("sl_staff", silver.sl_staff(w.bronze("staff"), now))
+    bronze = [w.bronze(name) for name in ("rental", "inventory", "payment")]
+    inventory, rentals = w.put_all("silver", {
+        "sl_inventory": lambda: silver.sl_inventory(w.bronze("inventory"), now),
+        "sl_rental_enriched": lambda: silver.sl_rental_enriched(*bronze, now, inventory_rows=copies),
+    })
+    film, language, customer, staff = w.put_all("silver", {
+        "sl_film": lambda: silver.sl_film(w.bronze("film"), now, silver.film_metrics(rentals)),
+        "sl_language": lambda: silver.sl_language(w.bronze("language"), now),
+        "sl_customer": lambda: silver.sl_customer(w.bronze("customer"), now),
+        "sl_staff": lambda: silver.sl_staff(w.bronze("staff"), now),
+    })
+    put = partial(w.put, "silver")
     store = put("sl_store", silver.sl_store(w.bronze("store"), now, silver.store_metrics(rentals, film, w.rows("silver", "sl_film"))))
     address = put("sl_address", silver.sl_address(w.bronze("address"), now, silver.address_counters(customer, store)))
     checks = silver_checks(
@@ -119,13 +153,18 @@ def build(warehouse: Warehouse, sources: Mapping[str, DataFrame], as_of: str) ->
     )
     quality.require(checks, "silver")
 
-    put = partial(w.put, "gold")
-    d_film = put("dim_film", gold.dim_film(film, language))
-    d_store = put("dim_store", gold.dim_store(store, address))
-    d_staff = put("dim_staff", gold.dim_staff(staff, store, address, now, silver.staff_metrics(rentals, w.bronze("payment"))))
-    d_date = put("dim_date", gold.calendar(gold.date_bounds(rentals, "rental_date", "return_date"), as_of))
+    # Staff come after, with all payments: the small tables that the others broadcast would wait for cores behind those.
+    d_film, d_store = w.put_all("gold", {
+        "dim_film": lambda: gold.dim_film(film, language),
+        "dim_store": lambda: gold.dim_store(store, address),
+    })
+    d_staff, d_date = w.put_all("gold", {
+        "dim_staff": lambda: gold.dim_staff(staff, store, address, now, silver.staff_metrics(rentals, w.bronze("payment"))),
+        "dim_date": lambda: gold.calendar(gold.date_bounds(rentals, "rental_date", "return_date"), as_of),
+    })
     quality.require(dimension_checks(d_film, d_store, d_staff, d_date), "gold dimensions")
 
+    put = partial(w.put, "gold")
     sizes = {name: w.rows("gold", f"dim_{name}") for name in ("film", "store", "staff")}
     facts = put("fact_rental", gold.fact_rental(rentals, d_film, d_store, d_staff, d_date, now, sizes))
     quality.require(fact_checks(facts, d_film), "gold facts")

@@ -2,6 +2,7 @@
 
 from datetime import date, datetime
 from decimal import Decimal
+from threading import Barrier
 
 import pytest
 
@@ -223,3 +224,25 @@ def test_build_tenants(spark, source, tmp_path):
     sources = {"north": kept, "south": {**kept, "rental": kept["rental"].where("rental_id = '1'")}}
     rows = build.build_tenants(spark, specs, sources, str(tmp_path), "b1", NOW, "2025-01-01").collect()
     assert {(r.tenant, r.row_count) for r in rows if r.table_name == "fact_rental"} == {("north", 2), ("south", 1)}
+
+
+def test_tables_are_written_side_by_side(spark, source, tmp_path):
+    met = Barrier(2)  # each of two tables waits for the other to be begun
+
+    def begun(name):
+        met.wait(30)
+        return silver.sl_language(source[name], NOW) if name == "language" else silver.sl_inventory(source[name], NOW)
+
+    warehouse = build.Warehouse(spark, str(tmp_path), "b1", NOW)
+    language, inventory = warehouse.put_all("silver", {f"sl_{n}": lambda n=n: begun(n) for n in ("language", "inventory")})
+    assert [(t, n) for _, t, n in warehouse.written] == [("sl_language", language.count()), ("sl_inventory", inventory.count())]
+
+
+def test_an_error_of_one_table_is_raised(spark, source, tmp_path):
+    def broken():
+        raise ValueError("no such table")
+
+    warehouse = build.Warehouse(spark, str(tmp_path), "b1", NOW)
+    with pytest.raises(ValueError, match="no such table"):
+        warehouse.put_all("silver", {"sl_language": lambda: silver.sl_language(source["language"], NOW), "sl_film": broken})
+    assert warehouse.written == []
