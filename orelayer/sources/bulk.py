@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 FORMAT = "orelayer_chunks"
+# A column of rows on their way to the writer, never stored: why a row is refused.
+REFUSED = "_orelayer_refused"
 
 
 @dataclass
@@ -34,8 +36,8 @@ class Chunks(WriterCommitMessage):
 
 
 class ChunkWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, commit_every: int):
-        self.path, self.commit_every = path, commit_every
+    def __init__(self, path: str, commit_every: int, refuses: bool):
+        self.path, self.commit_every, self.refuses = path, commit_every, refuses
 
     def _folder(self) -> tuple[fs.FileSystem, str]:
         files, root = fs.FileSystem.from_uri(self.path)
@@ -67,6 +69,12 @@ class ChunkWriter(DataSourceArrowWriter):
             told[name] = rows.num_rows
 
         for batch in iterator:
+            refused = None
+            if self.refuses:
+                reasons, batch = batch.column(REFUSED), batch.drop_columns([REFUSED])
+                if reasons.null_count < len(reasons):
+                    at = reasons.is_valid().index(True).as_py()
+                    refused, batch = reasons[at].as_py(), batch.slice(0, at)
             held.append(batch)
             size += batch.num_rows
             while size >= self.commit_every:
@@ -74,6 +82,8 @@ class ChunkWriter(DataSourceArrowWriter):
                 commit(rows.slice(0, self.commit_every))
                 rest = rows.slice(self.commit_every)
                 held, size = rest.to_batches(), rest.num_rows
+            if refused is not None:
+                raise ValueError(f"refused: {refused}")
         if size:
             commit(pa.Table.from_batches(held))
         if extra := set(there) - set(told):
@@ -98,13 +108,14 @@ class ChunkSource(DataSource):
         return FORMAT
 
     def writer(self, schema: StructType, overwrite: bool) -> ChunkWriter:
-        return ChunkWriter(self.options["path"], int(self.options["commit_every"]))
+        return ChunkWriter(self.options["path"], int(self.options["commit_every"]), REFUSED in schema.names)
 
 
 def bulk_load(df: DataFrame, path: str, keys: Sequence[str], *, partitions: int, commit_every: int = 1000, must_hold: Column | None = None) -> dict:
     """Load ``df`` into ``path``, a folder or URI that all executors reach; returns the ledger.
 
-    A row for which ``must_hold`` does not hold ends the run, as a constraint of a database does; the chunks before it stay.
+    A row for which ``must_hold`` does not hold ends the run, as a constraint of a database does; the chunks before it stay: the
+    writer itself refuses the row, after it has committed them.
     ``keys`` tell rows apart: with them the same rows make the same chunks. A load that is finished is not repeated. A run with other
     keys, partitions or chunk sizes than the one that began is an error.
     """
@@ -121,9 +132,7 @@ def bulk_load(df: DataFrame, path: str, keys: Sequence[str], *, partitions: int,
     df.sparkSession.dataSource.register(ChunkSource)
     dealt = df.repartition(partitions, *keys).sortWithinPartitions(*keys)
     if must_hold is not None:
-        first = F.col(dealt.columns[0])
-        refused = F.raise_error(F.concat(F.lit("refused: "), F.to_json(F.struct(*keys))))
-        dealt = dealt.withColumn(dealt.columns[0], F.when(must_hold, first).otherwise(refused.cast(dealt.schema[0].dataType)))
+        dealt = dealt.withColumn(REFUSED, F.when(~must_hold | must_hold.isNull(), F.to_json(F.struct(*keys))))
     # Rows come to the writer a chunk at a time, so that a row that fails does not take whole chunks before it along.
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)

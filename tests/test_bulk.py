@@ -50,3 +50,12 @@ def test_a_changed_source_or_layout_is_an_error(spark, tmp_path):
 def test_an_empty_load(spark, tmp_path):
     path = f"file://{tmp_path}/load"
     assert bulk.bulk_load(rows(spark).limit(0), path, ["id"], partitions=2)["rows"] == 0
+
+
+def test_all_whole_chunks_before_a_refused_row_stay(spark, tmp_path):
+    path = f"file://{tmp_path}/load"
+    for must_hold in (good(), F.when(good(), True)):  # a condition that is null does not hold either
+        with pytest.raises(Exception, match="refused: .*1950"):
+            bulk.bulk_load(rows(spark), path, ["id"], partitions=1, commit_every=50, must_hold=must_hold)
+        assert len(os.listdir(f"{tmp_path}/load/chunks")) == 39
+    assert bulk.loaded(spark, path, rows(spark).schema).agg(F.max("id")).first()[0] == 1949
